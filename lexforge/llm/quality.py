@@ -4,7 +4,7 @@ Rules look at counts of one text and vote good (1), bad (-1) or abstain (0).
 Expectation-maximisation over the table of vote patterns estimates the share of good
 documents and how often each rule votes either way for good and for bad ones; the
 posterior probability of "good" is then the verdict.  The E and M steps need only the
-number of documents of each vote pattern, at most 3**8 = 6561 rows whatever the corpus
+number of documents of each vote pattern, at most 3**9 = 19683 rows whatever the corpus
 size, so they run on the driver over that bounded table.
 
 Defined results: a null or empty text has zero words and fails the base rule; repeated
@@ -83,6 +83,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n_docs), *(pa.array(x.astype(np.int64)) for x in _count(c))], names=["doc_id", *COUNTS])
 
 
+def _features_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for c in texts(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n_docs), *(pa.array(x.astype(np.int64)) for x in _count(c))], names=["row", *COUNTS])
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with the counts that the rules look at."""
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -102,13 +108,14 @@ def rules() -> dict[str, Column]:
     words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
     share = lambda c, of: F.col(c) / of
     return {
-        "length": _vote(F.col("n_words") < 50, F.col("n_words") >= 100),
-        "symbols": _vote(share("n_symbols", words) > 0.10, share("n_symbols", words) < 0.02),
+        "length": _vote(F.col("n_words") < 30, F.col("n_words") >= 100),
+        "symbols": _vote(share("n_symbols", words) > 0.20, share("n_symbols", words) < 0.05),
+        "symbol_chars": _vote(share("n_symbols", chars) > 0.05, share("n_symbols", chars) < 0.01),
         "same_lines": _vote(share("n_dup_lines", lines) > 0.30, F.col("n_dup_lines") == 0),
         "same_words": _vote(share("n_repeat_words", words) > 0.30, share("n_repeat_words", words) < 0.10),
         "word_length": _vote(~(share("word_chars", words).between(3, 12)), share("word_chars", words).between(3.5, 10)),
         "sentence_ends": _vote(share("n_ended_lines", lines) < 0.20, share("n_ended_lines", lines) > 0.60),
-        "letters": _vote(share("n_letters", chars) < 0.70, share("n_letters", chars) > 0.85),
+        "letters": _vote(share("n_letters", chars) < 0.80, share("n_letters", chars) > 0.90),
         "digits": _vote(share("n_digits", chars) > 0.15, share("n_digits", chars) < 0.05),
     }
 
@@ -124,7 +131,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[
         return 0.5, np.full((2, 0, 3), 1 / 3)
     votes = np.array([v for v, _ in patterns]) + 1
     n = np.array([k for _, k in patterns], float)
-    start = np.array([[0.5, 0.3, 0.2], [0.1, 0.2, 0.7]])  # for bad and for good documents
+    start = np.array([[0.4, 0.2, 0.4], [0.05, 0.15, 0.8]])  # for bad and for good documents
     p = np.repeat(start[:, None, :], votes.shape[1], 1)
     prior, believed = 0.5, 0.01 * n.sum() + 1
     which = [(votes == k).astype(float) for k in range(3)]
@@ -143,36 +150,47 @@ def posterior(votes: np.ndarray, prior: float, p: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-odds))
 
 
+def _weights(patterns: list[tuple[tuple[int, ...], int]], names: list[str]) -> Column:
+    """The posterior as an expression over vote columns."""
+    prior, p = fit(sorted(patterns))
+    odds = F.lit(float(np.log(prior) - np.log(1 - prior)))
+    for i, c in enumerate(names if patterns else []):
+        bad, none, good = (float(np.log(p[1, i, k]) - np.log(p[0, i, k])) for k in range(3))
+        odds = odds + F.when(F.col(c) < 0, bad).when(F.col(c) > 0, good).otherwise(none)
+    return 1 / (1 + F.exp(-odds))
+
+
+def _patterns(votes: DataFrame, names: list[str]) -> list[tuple[tuple[int, ...], int]]:
+    return [(tuple(r[c] for c in names), r["count"]) for r in votes.groupBy(*names).count().collect()]  # 3**9 rows at most
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Counts, votes, posterior probability and verdict of each document.
 
     The votes of all documents are counted; the texts are read once, since the counts go
     to a table in the shared folder first.
     """
-    table = materialise(features(docs, id_col, text_col).withColumns({f"vote_{k}": v.cast("byte") for k, v in rules().items()}), "quality")
     names = [f"vote_{k}" for k in rules()]
-    patterns = [(tuple(r[c] for c in names), r["count"]) for r in table.groupBy(*names).count().collect()]  # 3**8 rows at most
-    prior, p = fit(sorted(patterns))
-    odds = F.lit(float(np.log(prior) - np.log(1 - prior)))
-    for i, c in enumerate(names if patterns else []):
-        bad, none, good = (float(np.log(p[1, i, k]) - np.log(p[0, i, k])) for k in range(3))
-        odds = odds + F.when(F.col(c) < 0, bad).when(F.col(c) > 0, good).otherwise(none)
+    table = materialise(features(docs, id_col, text_col).withColumns({f"vote_{k}": v.cast("byte") for k, v in rules().items()}), "quality")
     return (
-        table.withColumn("posterior", 1 / (1 + F.exp(-odds)))
+        table.withColumn("posterior", _weights(_patterns(table, names), names))
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
     )
 
 
-def keep_good(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns.
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that quality() keeps, with all their columns and no shuffle.
 
-    The verdict depends on the text alone, so rows that share an id but not a text are
-    told apart by a hash of the text; the join never multiplies rows.
+    The texts are read twice: for the votes, then, weights known, for the verdicts.
     """
-    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    # one id column for the operator that tells rows apart: the text's own hash
-    verdict = quality(docs.select(mark.alias("doc_id"), F.col(text_col).alias("text")), threshold=how.get("threshold", 0.5))
-    good = verdict.where("kept").select(F.col("doc_id").alias("__mark")).distinct()
-    return docs.withColumn("__mark", mark).join(good, "__mark", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [f"vote_{k}" for k in rules()]
+    votes = features(docs, id_col, text_col).select(*[v.cast("byte").alias(f"vote_{k}") for k, v in rules().items()])
+    verdict = _weights(_patterns(votes, names), names)
+    counted = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    kind = counted.schema["row"].dataType.simpleString()
+    if not all(c.isidentifier() for c in docs.columns):
+        kind = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema.fields) + ">"
+    out = counted.mapInArrow(_features_of_rows, f"row {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    out = out.withColumns({f"vote_{k}": v.cast("byte") for k, v in rules().items()})
+    return out.where(~base_failed() & (verdict >= threshold)).select("row.*")
