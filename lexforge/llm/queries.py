@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import bpe, mixing, quality, sharding, token_counts
+from lexforge.llm import bpe, lines, mixing, quality, sharding, substring, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.delete_repeats(_documents(spark, sf_dir))
+    return out.select("doc_id", "lines.n_lines", "lines.n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_documents(spark, sf_dir))
     return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
@@ -38,12 +47,32 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op5_bpe, op8_mixing, op9_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op5_bpe, op6_substring_dedup, op7_line_dedup, op8_mixing, op9_sharding)}
 
 _WORDS_1 = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 _WORDS_2 = r"len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]'))"
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        x AS (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 20 THEN range(1, len(w) - 18) ELSE [] END) AS s FROM d),
+        y AS (SELECT doc_id, s, row_number() OVER (PARTITION BY md5(array_to_string(w[s:s + 19], ' ')) ORDER BY doc_id, s) AS n FROM x),
+        g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM y WHERE n > 1),
+        e AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
+        k AS (SELECT e.doc_id, string_agg(t, ' ' ORDER BY e.i) AS kept, count(*) AS n FROM e ANTI JOIN g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op7_line_dedup": r"""
+        WITH e AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+        b AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM e WHERE regexp_matches(t, '[^\x20\x09-\x0D]')),
+        r AS (SELECT doc_id, p, t AS t1, lead(t, 1) OVER o AS t2, lead(t, 2) OVER o AS t3 FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+        n AS (SELECT doc_id, p, row_number() OVER (PARTITION BY t1, t2, t3 ORDER BY doc_id, p) AS n FROM r WHERE t3 IS NOT NULL),
+        g AS (SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS p FROM n WHERE n > 1),
+        z AS (SELECT b.doc_id, b.i FROM b JOIN g ON b.doc_id = g.doc_id AND b.p = g.p),
+        k AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY i) AS kept FROM e ANTI JOIN z USING (doc_id, i) GROUP BY doc_id),
+        c AS (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id), x AS (SELECT doc_id, count(*) AS n FROM z GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(x.n, 0) AS BIGINT) AS n_deleted, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op3_token_counts": f"""
         WITH c AS (SELECT source, lang, coalesce(text, '') AS text, {_WORDS_1} AS one, {_WORDS_2} AS two FROM documents),
         d AS (
