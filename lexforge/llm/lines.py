@@ -11,7 +11,7 @@ documents is combined before the shuffle.
 
 Defined results: a null text stays null and an empty one empty; documents with fewer lines
 than a run lose nothing; ties are decided by id and line number; rows that repeat an id
-count as one document's occurrences; null ids come last; a document that loses its last
+are told apart by a hash of the text, and equal rows are treated alike; null ids come last; a document that loses its last
 line with a word becomes empty (drop_emptied leaves it out); extra columns stay as they are;
 an empty table gives an empty result.
 """
@@ -43,8 +43,11 @@ def delete_repeats(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
     split = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
-    hashes = F.transform(F.filter(split, lambda x: x.rlike(HAS_WORD)), lambda x: F.xxhash64(x))
-    rows = docs.select(key.alias("id"), F.coalesce(hashes, F.array().cast("array<bigint>")).alias("h")).where(F.size("h") >= run)
+    version = F.xxhash64(F.col(f"`{text_col}`").cast("string"))  # tells rows apart that repeat an id
+    marked = F.transform(split, lambda x, i: F.struct(i.cast("int").alias("i"), F.when(x.rlike(HAS_WORD), F.xxhash64(x)).alias("h")))
+    rows = docs.select(key.alias("id"), version.alias("v"), F.filter(F.coalesce(marked, F.array().cast("array<struct<i:int,h:bigint>>")), lambda x: x["h"].isNotNull()).alias("lines"))
+    rows = rows.where(F.size("lines") >= run).select("id", "v", F.col("lines.h").alias("h"), F.col("lines.i").alias("i"))
+    rows = materialise(rows, "line-hashes")  # a few bytes a line, so later passes need no text
     # one narrow row for each run, so that no step holds or searches a document's lines at once
     h = F.col("h")
     runs = F.transform(
@@ -54,20 +57,22 @@ def delete_repeats(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_c
             F.xxhash64(F.slice(h, i + 1, run)).alias("h1"), F.xxhash64(F.lit(run), F.reverse(F.slice(h, i + 1, run))).alias("h2"),
         ),
     )
-    runs = materialise(rows.select("id", F.inline(runs)), "line-runs")
-    where = F.struct("id", "at")
+    runs = materialise(rows.select("id", "v", F.inline(runs)), "line-runs")
+    where = F.struct("id", "v", "at")
     repeated = runs.groupBy("hash").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("hash")
-    seeded = materialise(runs.join(repeated, "hash", "left_semi").select("id", "pos", "h1", "h2"), "line-seeds")
-    first = seeded.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("at")).select("at.id", "at.pos")
-    gone = F.array_distinct(F.flatten(F.transform(F.collect_set("pos"), lambda i: F.sequence(i, i + run - 1))))
-    cuts = materialise(seeded.join(first, ["id", "pos"], "left_anti").groupBy("id").agg(gone.alias("__gone")), "line-cuts")
+    seeded = materialise(runs.join(repeated, "hash", "left_semi").select("id", "v", "pos", "h1", "h2"), "line-seeds")
+    first = seeded.groupBy("h1", "h2").agg(F.min(F.struct("id", "v", "pos")).alias("at")).select("at.id", "at.v", "at.pos")
+    again = seeded.join(first, ["id", "v", "pos"], "left_anti").groupBy("id", "v").agg(F.collect_set("pos").alias("starts"))
+    gone = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.slice("i", p + 1, run))))
+    cuts = materialise(again.join(rows, ["id", "v"]).dropDuplicates(["id", "v"]).select(F.col("id").alias("__id"), F.col("v").alias("__v"), gone.alias("__gone")), "line-cuts")
     release(spark)
-    every = F.sequence(F.lit(0), F.size(split) - 1)
-    counted = F.filter(every, lambda i: F.get(split, i).rlike(HAS_WORD))
-    kept = F.array_except(every, F.transform(F.col("__gone"), lambda p: F.get(counted, p)))
-    text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`").cast("string")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
+    # the text travels as its lines, so that no lambda splits it again
     n_lines = F.coalesce(F.size(F.filter(split, lambda x: x.rlike(HAS_WORD))), F.lit(0)).cast("long")
-    n_deleted = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    both = docs.withColumn("__id", key).join(cuts.withColumnRenamed("id", "__id"), "__id", "left")
-    out = both.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.struct(n_lines.alias("n_lines"), n_deleted.alias("n_deleted")).alias("lines"))
+    whole = docs.select(*[split.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], key.alias("__id"), version.alias("__v"), n_lines.alias("__n"))
+    held = F.col(f"`{text_col}`")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(held) - 1), F.col("__gone"))
+    text = F.when(F.col("__gone").isNull(), F.array_join(held, "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(held, i)), "\n"))
+    n_deleted = F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long")
+    both = whole.join(cuts, ["__id", "__v"], "left")
+    out = both.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.struct(F.col("__n").alias("n_lines"), n_deleted.alias("n_deleted")).alias("lines"))
     return out.where(~((F.col("lines.n_deleted") > 0) & (F.col("lines.n_deleted") == F.col("lines.n_lines")))) if drop_emptied else out

@@ -64,7 +64,9 @@ def _marks(c: Chunk, lists: pa.Array, size: int) -> np.ndarray:
     counts = np.nan_to_num(np.asarray(pa.compute.list_value_length(part).fill_null(0)))
     values = np.asarray(part.flatten())
     if len(values):
-        out[np.repeat(c.bounds[:-1], counts) + values] = True
+        counts = counts.astype(np.int64)
+        within = values < np.repeat(np.diff(c.bounds), counts)  # a row that repeats an id may be shorter
+        out[(np.repeat(c.bounds[:-1], counts) + values)[within]] = True
     return out
 
 
