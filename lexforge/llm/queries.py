@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import bpe, hnsw, jaccard, lines, mixing, quality, sharding, substring, token_counts
+from lexforge.llm import bpe, hnsw, jaccard, lines, mixing, ngram_lm, quality, sharding, substring, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_hnsw, op3_token_counts, op4_ngram_jaccard, op5_bpe, op6_substring_dedup, op7_line_dedup, op8_mixing, op9_sharding)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_hnsw, op3_token_counts, op4_ngram_jaccard, op5_bpe, op6_substring_dedup, op7_line_dedup, op8_mixing, op9_sharding, op10_lm_scoring)}
 
 _WORDS_1 = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 _WORDS_2 = r"len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]'))"
