@@ -284,7 +284,7 @@ def chat_reply_question(spark, sf_dir):
     return relational.questions_of_replies(table(spark, sf_dir, "conversations"))
 
 
-@query("SELECT conv_id, turn, role, text FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations) c WHERE NOT (role = 'assistant' AND k = 1) AND NOT (role = 'user' AND nx = 'assistant' AND nt = (SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id AND x.role = 'assistant'))")
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations) c WHERE NOT (role = 'assistant' AND k = 1) AND NOT coalesce(role = 'user' AND nx = 'assistant' AND nt = (SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id AND x.role = 'assistant'), false)")
 def chat_delete_pair(spark, sf_dir):
     return relational.delete_first_pair(table(spark, sf_dir, "conversations"))
 
