@@ -65,7 +65,10 @@ class Writer:
 class Sequence:
     def __init__(self, arrays: dict[str, np.ndarray], n: int, low: int):
         self.n, self.low = n, low
-        self.lows, self.high, self.ones = arrays["low"], arrays["high"], np.asarray(arrays["ones"])
+        lows = arrays["low"]
+        #: Eight bytes from each byte on, as overlapping numbers over the mapped file.
+        self.windows = np.ndarray((max(len(lows) - 7, 0),), "<u8", lows, strides=(1,))
+        self.high, self.ones = arrays["high"], np.asarray(arrays["ones"])
         self.zeros = np.arange(len(self.ones)) * 64 - self.ones
 
     @staticmethod
@@ -92,11 +95,8 @@ class Sequence:
         if not self.low:
             return np.zeros(len(i), np.int64)
         bit = i * self.low
-        byte = bit >> 3
-        out = np.zeros(len(i), np.uint64)
-        for j in range((self.low + 14) // 8):
-            out |= self.lows[byte + j].astype(np.uint64) << np.uint64(8 * j)
-        return ((out >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)).astype(np.int64)
+        # low is 56 bits at most, so eight bytes from the first bit's byte on hold it
+        return ((self.windows[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)).astype(np.int64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The keys at positions i."""

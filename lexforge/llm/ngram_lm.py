@@ -143,13 +143,23 @@ class Trie:
 
 
 def _counted(key):
-    """Counts of key(chunk, trained) over whole batches."""
+    """Counts of the keys of some millions of tokens at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
         for batch in batches:
             for c in texts(batch.column(0)):
-                keys, n = np.unique(key(c), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+                held.append(key(c))
+                if sum(map(len, held)) >= 8 * BLOCK:
+                    yield flush()
+        if held:
+            yield flush()
 
     return run
 
@@ -239,7 +249,9 @@ def train(docs: DataFrame) -> list[str]:
     def pair_keys(c: Chunk) -> np.ndarray:
         trie = Trie(files[:1])
         seq, _, first = trie.sequence(c)
-        keys = trie.pair_keys(seq, first)
+        # a pair seen twice has words seen twice
+        rare = (seq >= 0) & (seq < trie.n) & (trie.one["count"][np.clip(seq, 0, trie.n - 1)] < LEAST)
+        keys = trie.pair_keys(np.where(rare, -1, seq), first)
         return keys[keys >= 0]
 
     n2, top, _, blocks = _sorted_blocks(count(pair_keys, LEAST))
