@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.scratch import materialise, release
+from lexforge.llm.scratch import materialise
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
 LAST = (1 << 63) - 1
@@ -65,7 +65,6 @@ def delete_repeats(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_c
     again = seeded.join(first, ["id", "v", "pos"], "left_anti").groupBy("id", "v").agg(F.collect_set("pos").alias("starts"))
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.slice("i", p + 1, run))))
     cuts = materialise(again.join(rows, ["id", "v"]).dropDuplicates(["id", "v"]).select(F.col("id").alias("__id"), F.col("v").alias("__v"), gone.alias("__gone")), "line-cuts")
-    release(spark)
     # the text travels as its lines, so that no lambda splits it again
     n_lines = F.coalesce(F.size(F.filter(split, lambda x: x.rlike(HAS_WORD))), F.lit(0)).cast("long")
     whole = docs.select(*[split.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], key.alias("__id"), version.alias("__v"), n_lines.alias("__n"))
@@ -73,6 +72,7 @@ def delete_repeats(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_c
     kept = F.array_except(F.sequence(F.lit(0), F.size(held) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.array_join(held, "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(held, i)), "\n"))
     n_deleted = F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long")
-    both = whole.join(cuts, ["__id", "__v"], "left")
+    # the same plan at every size; few cuts or many, the texts are dealt once
+    both = whole.join(cuts.hint("merge"), ["__id", "__v"], "left")
     out = both.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.struct(F.col("__n").alias("n_lines"), n_deleted.alias("n_deleted")).alias("lines"))
     return out.where(~((F.col("lines.n_deleted") > 0) & (F.col("lines.n_deleted") == F.col("lines.n_lines")))) if drop_emptied else out
