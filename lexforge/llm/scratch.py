@@ -13,7 +13,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that removes a query's shuffle files when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROOTS: dict[str, str] = {}
+_PATHS: dict[int, str] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -45,13 +48,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and returns the table read back."""
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")  # the table holds all, so the shuffle files of this write can go with its end
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    return out
 
-def release(spark: SparkSession) -> None:
-    """Asks the JVM to let go of the shuffle files of plans that nobody holds any more."""
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(table: DataFrame) -> None:
+    """Deletes a table that materialise() wrote and nothing reads any more."""
+    if (path := _PATHS.pop(id(table), None)) is not None:
+        _remove(table.sparkSession, path)

@@ -8,9 +8,10 @@ anchor hash that repeats.
 1. Seed: anchors (hash, document, position), about one for every (length - k + 2) / 2 words,
    are joined on their hash; those met once are dropped.
 2. Extend: around each repeated anchor the match is extended to both sides by whole windows,
-   compared through 128-bit hashes.  The least (document, start) of each window hash is its
-   first occurrence.  This is a sum-like aggregate, so a passage found in a third of all
-   documents is combined before the shuffle, and no pairs of occurrences are formed.
+   compared through 128-bit hashes.  The least document of each window hash has its first
+   occurrence, and within that document the least start.  A minimum is combined before the
+   shuffle, so a passage found in a third of all documents costs a row a task, and no pairs
+   of occurrences are formed.
 3. Windows that are not a first occurrence are repeats; overlapping ones form the maximal
    repeated spans, and their words go.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.scratch import materialise, release
+from lexforge.llm.scratch import discard, materialise
 from lexforge.llm.words import Chunk, grams, mix, texts
 
 #: Words of an anchor.
@@ -93,7 +94,7 @@ def _extended(length: int, k: int):
                 starts = starts[_marks(c, batch.column(2), len(h))[where]] if len(starts) else starts
                 doc = c.doc[starts]
                 pair = [pa.array(_hash_at(h, starts, c.doc, length, salt).view(np.int64)) for salt in (1, 2)]
-                yield pa.RecordBatch.from_arrays([*pair, pa.array(ids[c.first + doc]), pa.array((starts - c.bounds[doc]).astype(np.int32))], names=["h1", "h2", "id", "pos"])
+                yield pa.RecordBatch.from_arrays([*pair, pa.array(ids[c.first + doc])], names=["h1", "h2", "id"])
 
     return run
 
@@ -103,6 +104,20 @@ def _hash_at(h: np.ndarray, starts: np.ndarray, doc: np.ndarray, length: int, sa
     return g[np.searchsorted(at, starts)]
 
 
+def _first_here(c: Chunk, starts: np.ndarray, h1: np.ndarray, firsts: pa.Array) -> np.ndarray:
+    """Is a window in its document's list of windows first seen there, and the first of these in it?"""
+    own = lambda x, doc: mix(x ^ mix(doc.astype(np.uint64), 5))
+    part = firsts.slice(c.first, c.n_docs)
+    counts = np.asarray(pa.compute.list_value_length(part).fill_null(0)).astype(np.int64)
+    listed = np.sort(own(np.asarray(part.flatten()).astype(np.int64).view(np.uint64), np.repeat(np.arange(c.n_docs), counts)))
+    keys = own(h1, c.doc[starts])
+    out = np.zeros(len(keys), bool)
+    out[np.unique(keys, return_index=True)[1]] = True
+    if not len(listed):
+        return np.zeros(len(keys), bool)
+    return out & (listed[np.minimum(np.searchsorted(listed, keys), len(listed) - 1)] == keys)
+
+
 def _cleaned(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +126,10 @@ def _cleaned(length: int, k: int):
                 starts, where, _ = _windows(c, h, length, k)
                 gone = np.zeros(len(h) + 1, np.int64)
                 if len(starts):
-                    repeated = _marks(c, batch.column(2), len(h))[where] & ~_marks(c, batch.column(3), len(h))[starts]
-                    gone[starts[repeated]] += 1
-                    np.subtract.at(gone, starts[repeated] + length, 1)
+                    starts = starts[_marks(c, batch.column(2), len(h))[where]]
+                    starts = starts[~_first_here(c, starts, _hash_at(h, starts, c.doc, length, 1), batch.column(3))]
+                    gone[starts] += 1
+                    np.subtract.at(gone, starts + length, 1)
                 gone = np.cumsum(gone)[:-1] > 0
                 removed = np.bincount(c.doc[gone], minlength=c.n_docs)
                 raw = c.data.tobytes()
@@ -153,11 +169,10 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
     anchors = materialise(rows.mapInArrow(_anchors(length, k), "hash long, id long, pos int"), "anchors")
     repeated = anchors.groupBy("hash").count().where("count > 1").select("hash")
     seeds = materialise(anchors.join(repeated, "hash", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("seeds")), "seeds")
-    release(spark)
-    found = rows.join(seeds, "id").select("id", "text", "seeds").mapInArrow(_extended(length, k), "h1 long, h2 long, id long, pos int")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("at"))
-    firsts = materialise(first.groupBy(F.col("at.id").alias("id")).agg(F.collect_set("at.pos").alias("firsts")), "firsts")
-    release(spark)
+    discard(anchors)
+    found = rows.join(seeds, "id").select("id", "text", "seeds").mapInArrow(_extended(length, k), "h1 long, h2 long, id long")
+    first = found.groupBy("h1", "h2").agg(F.min("id").alias("id"))
+    firsts = materialise(first.groupBy("id").agg(F.collect_list("h1").alias("firsts")), "firsts")
     out = rows.join(seeds.join(firsts, "id", "left"), "id", "left").select("id", "text", "seeds", "firsts")
     out = out.mapInArrow(_cleaned(length, k), "id long, n_words long, n_removed long, kept_sha256 string, spans array<int>, kept string")
     return out.withColumn("id", F.when(F.col("id") < LAST, F.col("id"))).withColumnRenamed("id", "doc_id")
