@@ -42,7 +42,7 @@ def ring(shards: int, nodes: int) -> list[tuple[int, int]]:
 
 def capacities(rows: int, shards: int, slack: float) -> list[int]:
     if slack > 0:
-        return [-(-int(rows * (1 + slack)) // shards) + 1] * shards
+        return [-(-int(rows * (1 + slack)) // shards)] * shards
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
