@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pieces whose encoding a worker remembers, and transitions it keeps; both start anew beyond.
-PIECES, TRANSITIONS = 500_000, 400_000
+#: Pieces and stretches whose encoding a worker remembers, and transitions it keeps; each starts anew beyond.
+PIECES, STRETCHES, TRANSITIONS = 200_000, 300_000, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -281,7 +281,7 @@ class Codec:
         ids = self._encode(text)
         out = ids, ",".join(map(str, ids))
         if len(text) <= 64:
-            if len(self.stretches) >= PIECES:
+            if len(self.stretches) >= STRETCHES:
                 self.stretches.clear()
             self.stretches[text] = out
         return out
