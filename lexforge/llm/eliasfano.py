@@ -71,7 +71,7 @@ class Sequence:
         lows = arrays["low"]
         #: Eight bytes from each byte on, as overlapping numbers over the mapped file.
         self.windows = np.ndarray((max(len(lows) - 7, 0),), "<u8", lows, strides=(1,))
-        self.high, self.ones = arrays["high"], np.asarray(arrays["ones"])
+        self.high, self.ones = np.asarray(arrays["high"]), np.asarray(arrays["ones"])
         self.zeros = np.arange(len(self.ones)) * 64 - self.ones
 
     @staticmethod
@@ -120,15 +120,14 @@ class Sequence:
         far = np.flatnonzero(left == 0)
         stop[far] = self._zero(h[far])
         lo, hi = start - h, np.minimum(stop - h, self.n)
-        end = hi.copy()
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self._low(mid) < low[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
-            open_ = open_[lo[open_] < hi[open_]]
-        there = np.flatnonzero(lo < end)
-        there = there[self._low(lo[there]) == low[there]]
-        out[ok[there]] = lo[there]
+            ok, lo, hi, low = ok.take(open_), lo.take(open_), hi.take(open_), low.take(open_)
+            mid = (lo + hi) >> 1
+            value = self._low(mid)
+            less, same = value < low, np.flatnonzero(value == low)
+            out[ok.take(same)] = mid.take(same)
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            hi[same] = lo[same]
+            open_ = np.flatnonzero(lo < hi)
         return out

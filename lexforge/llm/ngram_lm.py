@@ -82,64 +82,74 @@ class Trie:
             self.three, facts = levels[2]
             self.triples = eliasfano.Sequence(self.three, facts["n"], facts["low"])
 
-    def sequence(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of start, words and end of all documents, one after the other; document; is it a start?"""
+    def sequence(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the chunk's distinct words (-1: unknown) and, last, of the start; start, words and end of
+        all documents, one after the other, as places among those; document; is it a start?"""
         h = (c.hashes(lower=True) >> np.uint64(1)).astype(np.int64)
         distinct, inverse = np.unique(np.append(h, END), return_inverse=True)
-        ids = self.words.find(distinct)[inverse]
         size = np.diff(c.bounds) + 2
         edge = np.concatenate(([0], np.cumsum(size)))
         seq = np.empty(edge[-1], np.int64)
-        seq[np.arange(len(h)) + 2 * c.doc + 1] = ids[:-1]
-        seq[edge[:-1]] = self.n
-        seq[edge[1:] - 1] = ids[-1]
+        seq[np.arange(len(h)) + 2 * c.doc + 1] = inverse[:-1]
+        seq[edge[:-1]] = len(distinct)
+        seq[edge[1:] - 1] = inverse[-1]
         first = np.zeros(len(seq), bool)
         first[edge[:-1]] = True
-        return seq, np.repeat(np.arange(c.n_docs), size), first
+        return np.append(self.words.find(distinct), self.n), seq, np.repeat(np.arange(c.n_docs), size), first
 
-    def pair_keys(self, seq: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def pair_keys(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """For each place, the key of the pair that ends there, or -1."""
-        out = np.full(len(seq), -1, np.int64)
-        out[1:] = np.where((seq[:-1] >= 0) & (seq[1:] >= 0) & ~first[1:], seq[:-1] * (self.n + 1) + seq[1:], -1)
+        out = np.full(len(ids), -1, np.int64)
+        out[1:] = np.where((ids[:-1] >= 0) & (ids[1:] >= 0) & ~first[1:], ids[:-1] * (self.n + 1) + ids[1:], -1)
         return out
 
     @staticmethod
-    def _each(find, keys: np.ndarray) -> np.ndarray:
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        return find(distinct)[inverse]
+    def _each(find, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """find() of the distinct keys and, last, -1; for each key its place among those, the last for -1."""
+        some = np.flatnonzero(keys >= 0)
+        distinct, inverse = np.unique(keys[some], return_inverse=True)
+        at = np.full(len(keys), len(distinct), np.int64)
+        at[some] = inverse
+        return np.append(find(distinct), -1), at
+
+    @staticmethod
+    def _logs(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Values of the codes at these places, 0 where the place is -1."""
+        out, some = np.zeros(len(at)), np.flatnonzero(at >= 0)
+        out[some] = value(codes[at[some]])
+        return out
 
-    def triple_keys(self, seq: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    def triple_keys(self, words: np.ndarray, seq: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         """For each place, the key of the triple that ends there, or -1."""
         out = np.full(len(seq), -1, np.int64)
         both = np.flatnonzero((pairs[1:] >= 0) & (pairs[:-1] >= 0)) + 1
-        middle = seq[both - 1]
-        start = self._each(self.starts.get, middle) if len(both) else middle
-        out[both] = pairs[both - 1] * self.widest + pairs[both] - start
+        if len(both):
+            starts = self.starts.get(np.maximum(words, 0))
+            out[both] = pairs[both - 1] * self.widest + pairs[both] - starts[seq[both - 1]]
         return out
 
-    def base(self, seq: np.ndarray) -> np.ndarray:
-        count = np.where(seq >= 0, self.one["count"][np.clip(seq, 0, max(self.n - 1, 0))] if self.n else 0, 0)
+    def base(self, ids: np.ndarray) -> np.ndarray:
+        count, some = np.zeros(len(ids)), np.flatnonzero((ids >= 0) & (ids < self.n))
+        count[some] = self.one["count"][ids[some]]
         return np.log10((count + ADD) / (self.total + ADD * (self.n + 1)))
 
     def score(self, c: Chunk) -> list[np.ndarray]:
-        seq, doc, first = self.sequence(c)
-        single = self.base(np.where(first, -1, seq))
-        pairs = self._each(self.pairs.find, self.pair_keys(seq, first))
-        triples = self._each(self.triples.find, self.triple_keys(seq, pairs))
-        before = np.append(-1, seq[:-1])
-        out = single + np.where((before >= 0) & ~first, value(self.two["rest"][np.clip(before, 0, self.n)]), 0.0)
-        has = pairs >= 0
-        if has.any():
-            out[has] = value(self.two["logp"][pairs[has]])
-            wide = np.append(-1, pairs[:-1])
-            ctx = (wide >= 0) & ~first
-            out[ctx] += value(self.three["rest"][wide[ctx]])
-        has = triples >= 0
-        if has.any():
-            out[has] = value(self.three["logp"][triples[has]])
-        use = ~first
-        add = lambda x: np.bincount(doc[use], x[use], c.n_docs)
-        return [np.diff(c.bounds) + 1, add((seq >= 0).astype(float)).astype(np.int64), add(single), add(out)]
+        """The big arrays are read once for each distinct word, pair and triple, in ascending order."""
+        words, seq, doc, first = self.sequence(c)
+        single = self.base(words)[seq]
+        pair, at2 = self._each(self.pairs.find, self.pair_keys(words[seq], first))
+        pairs = pair[at2]
+        triple, at3 = self._each(self.triples.find, self.triple_keys(words, seq, pairs))
+        # what a document's start gets here from the one before is left out below
+        out = single.copy()
+        out[1:] += self._logs(self.two["rest"], words)[seq[:-1]]
+        out = np.where(pairs >= 0, self._logs(self.two["logp"], pair)[at2], out)
+        out[1:] += self._logs(self.three["rest"], pair)[at2[:-1]]
+        out = np.where((triple >= 0)[at3], self._logs(self.three["logp"], triple)[at3], out)
+        use = np.flatnonzero(~first)
+        doc = doc[use]
+        add = lambda x: np.bincount(doc, x[use], c.n_docs)
+        return [np.diff(c.bounds) + 1, add((words >= 0)[seq]).astype(np.int64), add(single), add(out)]
 
 
 def _counted(key):
@@ -247,10 +257,11 @@ def train(docs: DataFrame) -> list[str]:
     # level 2
     def pair_keys(c: Chunk) -> np.ndarray:
         trie = Trie(files[:1])
-        seq, _, first = trie.sequence(c)
+        words, seq, _, first = trie.sequence(c)
         # a pair seen twice has words seen twice
-        rare = (seq >= 0) & (seq < trie.n) & (trie.one["count"][np.clip(seq, 0, trie.n - 1)] < LEAST)
-        keys = trie.pair_keys(np.where(rare, -1, seq), first)
+        some = np.flatnonzero((words >= 0) & (words < trie.n))
+        words[some[trie.one["count"][words[some]] < LEAST]] = -1
+        keys = trie.pair_keys(words[seq], first)
         return keys[keys >= 0]
 
     n2, top, _, blocks = _sorted_blocks(count(pair_keys, LEAST))
@@ -293,8 +304,9 @@ def train(docs: DataFrame) -> list[str]:
     # level 3
     def triple_keys(c: Chunk) -> np.ndarray:
         trie = Trie(files[:2])
-        seq, _, first = trie.sequence(c)
-        keys = trie.triple_keys(seq, trie._each(trie.pairs.find, trie.pair_keys(seq, first)))
+        words, seq, _, first = trie.sequence(c)
+        pair, at = trie._each(trie.pairs.find, trie.pair_keys(words[seq], first))
+        keys = trie.triple_keys(words, seq, pair[at])
         return keys[keys >= 0]
 
     n3, top, _, blocks = _sorted_blocks(count(triple_keys, LEAST))
