@@ -98,8 +98,8 @@ def page_type(has_image: Column, chars: Column, area: Column, threshold: float =
 
 
 def split_oversized(text: Column, most: int = 8000) -> Column:
-    """ceil(length / most) pieces of about equally many words."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    pieces = F.greatest(F.ceil(F.length(text) / most), F.lit(1)).cast("int")
-    step = F.greatest(F.ceil(F.size(words) / pieces), F.lit(1)).cast("int")
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.array_join(F.slice(words, i * step + 1, step), " ")))
+    """At most ceil(length / most) pieces of equally many words, cut at single blanks and else unchanged."""
+    words = F.split(text, " ", -1)
+    step = F.ceil(F.size(words) / F.greatest(F.ceil(F.length(text) / most), F.lit(1))).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.size(words) - 1, step), lambda i: F.array_join(F.slice(words, i + 1, step), " "))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(cut)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
-from lexforge.operators import citations, grounding, rank
+from lexforge.operators import citations, grounding, images, knowledge, metadata, rank, shapes
 from lexforge.operators.chunking import chunk
 from lexforge.plans.corpus import QUERIES, query, table
 
@@ -87,6 +87,92 @@ def nearest_quotes(spark, sf_dir):
     return grounding.nearest_quote(markers, quotes)
 
 
+_LEVELS = "SELECT l_returnflag || l_linestatus AS page, l_linenumber AS row, CAST(l_quantity * 5 AS INT) AS level FROM lineitem"
+
+
+def _pixels(spark, sf_dir):
+    """Quantities as grey levels of pages of seven rows."""
+    level = (F.col("l_quantity") * 5).cast("int").alias("level")
+    return table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("page"), F.col("l_linenumber").alias("row"), level)
+
+
+@query(f"""WITH p AS ({_LEVELS}), h AS (SELECT page, level, count(*) AS n FROM p GROUP BY ALL), e AS (SELECT DISTINCT page FROM p)
+    SELECT e.page, CAST(r.i AS INT) AS level, coalesce(h.n, 0) AS n FROM e CROSS JOIN range(256) AS r(i) LEFT JOIN h ON h.page = e.page AND h.level = r.i""")
+def page_histogram(spark, sf_dir):
+    return images.full_histogram(_pixels(spark, sf_dir))
+
+
+@query(f"""WITH h AS (SELECT page, level, count(*) AS n FROM ({_LEVELS}) GROUP BY ALL),
+    c AS (SELECT page, level, CAST(sum(n) OVER w AS DOUBLE) AS b, CAST(sum(level * n) OVER w AS DOUBLE) AS bs, CAST(sum(n) OVER (PARTITION BY page) AS DOUBLE) AS a, CAST(sum(level * n) OVER (PARTITION BY page) AS DOUBLE) AS s
+          FROM h WINDOW w AS (PARTITION BY page ORDER BY level)),
+    v AS (SELECT page, level, CASE WHEN a > b THEN b * (a - b) * pow(bs / b - (s - bs) / (a - b), 2) ELSE 0 END AS v FROM c),
+    r AS (SELECT page, level, v, row_number() OVER (PARTITION BY page ORDER BY v DESC, level) AS k FROM v)
+    SELECT page, CASE WHEN v > 0 THEN level ELSE 0 END AS threshold FROM r WHERE k = 1""")
+def otsu_threshold(spark, sf_dir):
+    return images.otsu(_pixels(spark, sf_dir))
+
+
+@query(f"SELECT page, round(var_pop(ink), 6) AS variance FROM (SELECT page, row, count(*) FILTER (level < 128) AS ink FROM ({_LEVELS}) GROUP BY ALL) GROUP BY page")
+def ink_row_variance(spark, sf_dir):
+    return images.row_variance(_pixels(spark, sf_dir)).select("page", F.round("variance", 6).alias("variance"))
+
+
+@query(f"SELECT page, count(*) FILTER (level > 10) / count(*) > 0.95 AS blank FROM ({_LEVELS}) GROUP BY page")
+def blank_pages(spark, sf_dir):
+    return images.blank(_pixels(spark, sf_dir), above=10, share=0.95)
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS text FROM documents),
+    w AS (SELECT doc_id, text, string_split(text, ' ') AS w, CASE WHEN length(text) > 8000 THEN CAST(ceil(length(text) / 8000.0) AS BIGINT) ELSE 1 END AS k FROM t WHERE text <> ''),
+    s AS (SELECT doc_id, w, CAST(ceil(len(w) / CAST(k AS DOUBLE)) AS BIGINT) AS size FROM w),
+    p AS (SELECT doc_id, w, size, unnest(range(0, CAST(ceil(len(w) / CAST(size AS DOUBLE)) AS BIGINT))) AS piece FROM s)
+    SELECT doc_id, CAST(piece AS INT) AS piece, array_to_string(w[piece * size + 1:(piece + 1) * size], ' ') AS text FROM p""")
+def extraction_pieces(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("chunk_id"), F.lit(None).cast("string").alias("heading"), "text")
+    return knowledge.pieces(docs).select("doc_id", "piece", "text")
+
+
+_TRIPLES = "(VALUES ('a', 'is', 'b'), ('a', 'is', 'b'), ('b', 'has', ' '), (NULL, 'is', 'c'), ('b', 'has', 'c'), ('c', '', 'a')) AS t(subject, predicate, object)"
+_ENTITIES = "(VALUES ('a'), ('b'), (''), ('  '), (NULL), ('a'), ('c')) AS t(entity)"
+
+
+@query("SELECT * FROM (VALUES ('a', 'is', 'b'), ('b', 'has', 'c')) AS t(subject, predicate, object)")
+def clean_triples(spark, sf_dir):
+    return knowledge.clean_triples(spark.sql(f"SELECT * FROM {_TRIPLES}"))
+
+
+@query(f"SELECT (SELECT count(DISTINCT entity) FROM {_ENTITIES} WHERE trim(entity) <> '') AS entities, CAST(2 AS BIGINT) AS relations, CAST(2 AS BIGINT) AS relation_types")
+def graph_counts(spark, sf_dir):
+    return knowledge.counts(spark.sql(f"SELECT * FROM {_ENTITIES}"), spark.sql(f"SELECT * FROM {_TRIPLES}"))
+
+
+_WORKS = [
+    ("10.1000/a", '{"title": [" On trees "], "author": [{"given": "Ann", "family": "Key"}, {"family": "Lee"}, {}], "issued": {"date-parts": [[2019, 4, 2]]}, "is-referenced-by-count": 7, "reference": [{"volume-title": "Vol", "DOI": "10.1/x"}, {"article-title": "Art", "author": "Bo"}]}'),
+    ("10.1000/b", None), ("10.1000/c", '{"title": "Plain", "issued": {"date-parts": [[2024, 6]]}}'), ("10.1000/d", '{"title": [], "issued": {"date-parts": [[2024]]}}'),
+]
+
+
+@query("""SELECT * FROM (VALUES ('10.1000/a', true, 'On trees', 'Ann Key|Lee', 2019, 4, 'Vol|Art', 7), ('10.1000/b', false, NULL, '', NULL, NULL, NULL, NULL),
+    ('10.1000/c', true, 'Plain', '', NULL, NULL, NULL, NULL), ('10.1000/d', true, NULL, '', 2024, NULL, NULL, NULL)) AS t(doi, hit, title, authors, year, month, refs, cited_by)""".replace("SELECT *", "SELECT doi, hit, title, authors, year, month, refs, CAST(cited_by AS BIGINT) AS cited_by"))
+def registry_records(spark, sf_dir):
+    out = metadata.normalise(spark.createDataFrame(_WORKS, "doi string, work string"), 2024, 5)
+    return out.select("doi", "hit", "title", F.array_join("authors", "|").alias("authors"), "created.year", "created.month", F.array_join(F.col("refs.title"), "|").alias("refs"), "cited_by")
+
+
+@query("SELECT * FROM (VALUES (1, 'On trees', 'match'), (2, 'Own 2', 'miss'), (3, 'Own 3', 'absent'), (4, 'Own 4', 'none'), (5, 'Own 5', 'match')) AS t(doc_id, title, lookup)")
+def registry_overlay(spark, sf_dir):
+    docs = [(1, "10.1000/a", "Own 1", []), (2, "10.1000/b", "Own 2", ["Me"]), (3, "10.1000/zz", "Own 3", []), (4, None, "Own 4", []), (5, "10.1000/d", "Own 5", ["Me"])]
+    records = metadata.normalise(spark.createDataFrame(_WORKS, "doi string, work string"), 2024, 5)
+    return metadata.overlay(spark.createDataFrame(docs, "doc_id int, doi string, title string, authors array<string>"), records).select("doc_id", "title", "lookup")
+
+
+@query()
+def cluster_hulls(spark, sf_dir):
+    """Hulls of each label's vectors over their first two components; the tests compare them with brute force."""
+    e = table(spark, sf_dir, "embeddings")
+    return shapes.hulls(e.select(F.col("label").alias("cluster"), F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y")))
+
+
 @query()
 def document_chunks(spark, sf_dir):
     """Chunks of 180 words with overlap; the tests compare them with their invariants."""
