@@ -103,3 +103,33 @@ def split_oversized(text: Column, most: int = 8000) -> Column:
     step = F.ceil(F.size(words) / F.greatest(F.ceil(F.length(text) / most), F.lit(1))).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.size(words) - 1, step), lambda i: F.array_join(F.slice(words, i + 1, step), " "))
     return F.when(F.length(text) <= most, F.array(text)).otherwise(cut)
+
+
+def reference_section(text: Column) -> Column:
+    """What follows the last line that is a heading of references, trimmed; null without one."""
+    heading = "|".join(sorted(REFERENCE_HEADINGS, key=len, reverse=True))
+    pattern = rf"(?is)^(?:.*\n)?(?:{heading})[ \t\r]*\n(.*)$"
+    return F.when(text.rlike(pattern), F.regexp_replace(F.regexp_extract(text, pattern, 1), r"^\s+|\s+$", ""))
+
+
+def fenced_json(text: Column) -> Column:
+    """The inside of the first code fence, or the text itself, trimmed."""
+    inside = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    return F.trim(F.when(text.contains("```"), inside).otherwise(text))
+
+
+def query_class(reply: Column) -> Column:
+    """type ("reason" or "retrieval") and confidence (0 to 1, else 0.5) of a classifier's reply, JSON or not."""
+    body = fenced_json(F.coalesce(reply, F.lit("")))
+    parsed = F.from_json(body, "type string, confidence double")
+    is_json = F.try_parse_json(body).isNotNull()
+    named = F.lower(F.regexp_extract(body, "(?i)(retrieval|reason)", 1))
+    kind = F.when(F.when(is_json, parsed["type"]).otherwise(named) == "reason", "reason").otherwise("retrieval")
+    sure = F.when(is_json & parsed["confidence"].isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), parsed["confidence"]))).otherwise(0.5)
+    return F.struct(kind.alias("type"), sure.alias("confidence"))
+
+
+def normal_email(text: Column) -> Column:
+    """Trimmed and lower-case, or null where it is no address."""
+    bare = F.trim(text)
+    return F.when(bare.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), F.lower(bare))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
-from lexforge.operators import citations, grounding, images, knowledge, metadata, rank, shapes
+from lexforge.operators import citations, grounding, images, knowledge, metadata, rank, reading, shapes
 from lexforge.operators.chunking import chunk
 from lexforge.plans.corpus import QUERIES, query, table
 
@@ -173,6 +173,55 @@ def cluster_hulls(spark, sf_dir):
     return shapes.hulls(e.select(F.col("label").alias("cluster"), F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y")))
 
 
+@query("SELECT * FROM (VALUES (1, '2,3,4,5,1,6'), (2, '1,2,3'), (3, '3,1,2'), (4, NULL)) AS t(id, pages)")
+def page_orders(spark, sf_dir):
+    rows = spark.sql("SELECT * FROM (VALUES (1, 3, 4, 6), (2, 1, 1, 3), (3, 4, 9, 3), (4, 1, 1, 0)) AS t(id, a, b, n)")
+    return rows.select("id", F.array_join(reading.page_order(F.col("a"), F.col("b"), F.col("n")), ",").alias("pages"))
+
+
+@query("SELECT user_id, event_id AS item FROM events WHERE event_id + 10 > 100 AND event_id < 200")
+def overlapping_spans(spark, sf_dir):
+    spans = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("item"), F.col("event_id").alias("start"), (F.col("event_id") + 10).alias("end"))
+    return reading.overlapping(spans, 100, 200).select("user_id", "item")
+
+
+@query("SELECT * FROM (VALUES (1), (4), (5)) AS t(id)")
+def quotes_of_sentence(spark, sf_dir):
+    rows = [(1, "As Müller says, “graphs are every-where”.", "Graphs are everywhere"), (2, "As said here", "As said"), (3, "One claim of many words", "another claim of words"), (4, None, "x"), (5, "…", None)]
+    return reading.relevant_quotes(spark.createDataFrame(rows, "id int, sentence string, quote string")).select("id")
+
+
+@query("SELECT l_orderkey AS reply_id, l_suppkey AS doc_id, min(l_linenumber) AS place, bool_or(l_linestatus = 'F') AS verified FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL")
+def source_chips(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return reading.chips(li.select(F.col("l_orderkey").alias("reply_id"), F.col("l_linenumber").alias("place"), F.col("l_suppkey").alias("doc_id"), (F.col("l_returnflag") != "N").alias("cited"), (F.col("l_linestatus") == "F").alias("verified")))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS target, l_linenumber AS page, list_sort(list(DISTINCT l_suppkey)) AS i FROM lineitem GROUP BY ALL)
+    SELECT target, page, array_to_string(i, ',') AS items, page = min(page) OVER (PARTITION BY target) AS scroll_here FROM p""")
+def page_highlights(spark, sf_dir):
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("target"), F.col("l_linenumber").alias("page"), F.col("l_suppkey").alias("item"))
+    return reading.highlights(hits).select("target", "page", F.array_join("items", ",").alias("items"), "scroll_here")
+
+
+@query("SELECT * FROM (VALUES (1, '[1] A.' || chr(10) || '[2] B.'), (2, 'last'), (3, NULL), (4, '')) AS t(id, refs)")
+def reference_sections(spark, sf_dir):
+    rows = [(1, "Body\nReferences\n\n[1] A.\n[2] B.\n"), (2, "BIBLIOGRAPHY\nfirst\nWorks cited \nlast"), (3, "References in text only"), (4, "x\nReferences\n")]
+    return spark.createDataFrame(rows, "id int, text string").select("id", T.reference_section(F.col("text")).alias("refs"))
+
+
+@query("SELECT id, type, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES (1, 'reason', 0.8), (2, 'reason', 1), (3, 'reason', 0.5), (4, 'retrieval', 0.5), (5, 'retrieval', 0), (6, 'retrieval', 0.5)) AS t(id, type, confidence)")
+def classified_queries(spark, sf_dir):
+    rows = [(1, '{"type": "reason", "confidence": 0.8}'), (2, '```json\n{"type": "reason", "confidence": 7}\n```'), (3, 'I would REASON here'), (4, "no idea"), (5, '{"type": "other", "confidence": -1}'), (6, None)]
+    return spark.createDataFrame(rows, "id int, reply string").select("id", T.query_class(F.col("reply")).alias("c")).select("id", "c.type", "c.confidence")
+
+
+@query("SELECT * FROM (VALUES (1, 'ann@x.org'), (2, NULL), (3, NULL), (4, NULL)) AS t(id, email)")
+def normal_emails(spark, sf_dir):
+    rows = spark.sql("SELECT * FROM (VALUES (1, ' Ann@X.org '), (2, 'a b@x.org'), (3, 'a@x'), (4, NULL)) AS t(id, email)")
+    return rows.select("id", T.normal_email(F.col("email")).alias("email"))
+
+
 @query()
 def document_chunks(spark, sf_dir):
     """Chunks of 180 words with overlap; the tests compare them with their invariants."""
