@@ -1,21 +1,22 @@
 """Operator 10, language-model scoring with an Elias-Fano n-gram trie of three levels.
 
 Level 1 has all training tokens, as sorted 63-bit hashes; a token's id is its place there.
-Level 2 has the pairs seen ``least`` times or more: successors of a token, all lists laid end
+Level 2 has all pairs: successors of a token, all lists laid end
 to end as one monotone sequence of context * size + successor, with a monotone sequence of
 pointers to where each list starts.  Level 3 has triples (u, v, w) as place of (u, v) and
 place of w *among the successors of v*, so its numbers stay small; a search there is relative
 to the context.  Beside the keys stand quantised log10 probabilities (16 bits over 0 to -16)
 and, for contexts, the mass left for shorter ones.
 
-Smoothing is interpolated absolute discounting over the counts that are kept, down to
+Smoothing is interpolated absolute discounting over all counts, those of one included, down to
 (c + 0.1) / (N + 0.1 * (V + 1)) for single tokens, so the model is a proper distribution up
 to the quantisation.
 
 All counts are sums over all training documents, partial sums first.  Each level's keys are
 dealt by range and packed by the executors; the driver only copies sorted blocks into the
-level's file, through memory maps, so its memory is that of a block.  Files go to the
-executors with addFile and are mapped there; they take some 14 bytes a token and 5 to 7 a pair or triple.
+level's file, through memory maps, so its memory is that of a block.  Where the shared folder
+is a mounted one the files lie there and all executors map the same bytes; else they go to the
+executors with addFile.  They take some 14 bytes a token and 5 to 7 a pair or triple.
 
 Defined results: a null or empty text is the end token alone; documents train unless
 crc32(id) mod 10 is 0, a null id is held out; repeated rows train as often as they stand
@@ -39,10 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import eliasfano
-from lexforge.llm.scratch import materialise
+from lexforge.llm.scratch import discard, materialise, mounted
 from lexforge.llm.words import Chunk, mix, texts
 
-ADD, DISCOUNT, LEAST, BLOCK = 0.1, 0.75, 2, 1 << 19
+ADD, DISCOUNT, BLOCK = 0.1, 0.75, 1 << 19
 FLOOR, STEPS = -16.0, 65535
 END = int(mix(np.array([0x454E44], np.uint64), 99)[0] >> np.uint64(1))
 
@@ -60,7 +61,7 @@ _LOADED: dict[str, tuple[dict, dict]] = {}
 
 def _file(name: str) -> tuple[dict, dict]:
     if name not in _LOADED:
-        _LOADED[name] = eliasfano.load(SparkFiles.get(name))
+        _LOADED[name] = eliasfano.load(name if os.path.isabs(name) else SparkFiles.get(name))
     return _LOADED[name]
 
 
@@ -202,6 +203,7 @@ def _sorted_blocks(counts: DataFrame) -> tuple[int, int, int, Iterator[tuple[np.
     n, top, total = counts.agg(F.count("*"), F.coalesce(F.max("key"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     packed = counts.repartitionByRange(max(1, -(-n // BLOCK)), "key").sortWithinPartitions("key").mapInArrow(_pack, "first long, keys binary, counts binary")
     packed = materialise(packed, "blocks")
+    discard(counts)
 
     def blocks():
         rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -212,6 +214,7 @@ def _sorted_blocks(counts: DataFrame) -> tuple[int, int, int, Iterator[tuple[np.
             yield k[:whole], c[:whole]
             rest = k[whole:], c[whole:]
         yield rest
+        discard(packed)
 
     return n, top, total, blocks()
 
@@ -232,23 +235,26 @@ def train(docs: DataFrame) -> list[str]:
     spark = docs.sparkSession
     here = os.path.realpath(tempfile.mkdtemp(prefix="trie-"))
     atexit.register(shutil.rmtree, here, True)
+    shared = mounted(spark, "trie")
+    there = shared or here
     files: list[str] = []
 
     def ship(name: str) -> None:
-        spark.sparkContext.addFile(f"{here}/{name}")
-        files.append(name)
+        if not shared:
+            spark.sparkContext.addFile(f"{there}/{name}")
+        files.append(f"{there}/{name}" if shared else name)
 
     def new() -> str:
         return f"level-{uuid.uuid4().hex}.ef"
 
-    def count(key, least: int) -> DataFrame:
-        return docs.mapInArrow(_counted(key), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    def count(key) -> DataFrame:
+        return docs.mapInArrow(_counted(key), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
     # level 1
-    size, top, total, blocks = _sorted_blocks(count(_word_keys, 1))
+    size, top, total, blocks = _sorted_blocks(count(_word_keys))
     low, arrays = eliasfano.plan(size, top)
     one = new()
-    level1 = eliasfano.create(f"{here}/{one}", arrays | {"count": ("i8", size)}, n=size, low=low, total=int(total))
+    level1 = eliasfano.create(f"{there}/{one}", arrays | {"count": ("i8", size)}, n=size, low=low, total=int(total))
     _fill(eliasfano.Writer(level1, low), blocks, level1["count"])
     ship(one)
     trained = int(level1["count"][eliasfano.Sequence(level1, size, low).find(np.array([END]))[0]]) if size else 0
@@ -258,13 +264,10 @@ def train(docs: DataFrame) -> list[str]:
     def pair_keys(c: Chunk) -> np.ndarray:
         trie = Trie(files[:1])
         words, seq, _, first = trie.sequence(c)
-        # a pair seen twice has words seen twice
-        some = np.flatnonzero((words >= 0) & (words < trie.n))
-        words[some[trie.one["count"][words[some]] < LEAST]] = -1
         keys = trie.pair_keys(words[seq], first)
         return keys[keys >= 0]
 
-    n2, top, _, blocks = _sorted_blocks(count(pair_keys, LEAST))
+    n2, top, _, blocks = _sorted_blocks(count(pair_keys))
     low, arrays = eliasfano.plan(n2, top)
     p_low, pointers = eliasfano.plan(base + 1, n2)
     temp = {k: np.memmap(f"{here}/{k}.tmp", np.int64, "w+", shape=(max(n2, 1),)) for k in ("keys", "counts")}
@@ -279,7 +282,7 @@ def train(docs: DataFrame) -> list[str]:
     for a in range(0, base + 1, BLOCK):
         starts[a : a + BLOCK] = np.searchsorted(temp["keys"][:n2], np.arange(a, min(a + BLOCK, base + 1)) * base)
     widest = int(max([1, *(np.diff(starts[a : a + BLOCK + 1]).max() for a in range(0, base, BLOCK))]))
-    level2 = eliasfano.create(f"{here}/{two}", arrays, n=n2, low=low, p_low=p_low, widest=widest)
+    level2 = eliasfano.create(f"{there}/{two}", arrays, n=n2, low=low, p_low=p_low, widest=widest)
     writer, pointer = eliasfano.Writer(level2, low), eliasfano.Writer({k: level2["p_" + k] for k in pointers}, p_low)
     for a in range(0, n2, BLOCK):
         writer.add(temp["keys"][a : min(a + BLOCK, n2)])
@@ -309,10 +312,10 @@ def train(docs: DataFrame) -> list[str]:
         keys = trie.triple_keys(words, seq, pair[at])
         return keys[keys >= 0]
 
-    n3, top, _, blocks = _sorted_blocks(count(triple_keys, LEAST))
+    n3, top, _, blocks = _sorted_blocks(count(triple_keys))
     low, arrays = eliasfano.plan(n3, top)
     three = new()
-    level3 = eliasfano.create(f"{here}/{three}", arrays | {"logp": ("u2", n3), "rest": ("u2", n2)}, n=n3, low=low)
+    level3 = eliasfano.create(f"{there}/{three}", arrays | {"logp": ("u2", n3), "rest": ("u2", n2)}, n=n3, low=low)
     keys3, counts3 = (np.memmap(f"{here}/{k}3.tmp", np.int64, "w+", shape=(max(n3, 1),)) for k in ("keys", "counts"))
     writer, kept3 = eliasfano.Writer(level3, low), np.memmap(f"{here}/kept3.tmp", np.float64, "w+", shape=(max(n2, 1),))
     at = 0
@@ -333,10 +336,11 @@ def train(docs: DataFrame) -> list[str]:
         lower = starts[temp["keys"][ctx] % base] + k % widest
         left = 1 - kept3[ctx] / temp["counts"][ctx]
         level3["logp"][a : a + len(k)] = quantise(np.log10((c3 - DISCOUNT) / temp["counts"][ctx] + left * 10 ** value(level2["logp"][lower])))
-    ship(three)
+    del temp, starts, rest2, keys3, counts3, kept3  # else the bytes stay while they are mapped
     for f in os.listdir(here):
         if f.endswith(".tmp"):
             os.unlink(f"{here}/{f}")
+    ship(three)
     return files
 
 

@@ -8,6 +8,7 @@ tasks.  Files of a session are removed when the Python process ends.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -44,6 +45,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def mounted(spark: SparkSession, name: str) -> str | None:
+    """A new folder there that every executor can open by its local path, or None if the shared folder is in another kind of store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/{name}-{uuid.uuid4().hex}")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() != "file":
+        return None
+    os.makedirs(local := path.toUri().getPath())
+    return local
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and returns the table read back."""
     spark = df.sparkSession

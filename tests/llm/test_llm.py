@@ -242,6 +242,33 @@ def test_lm_learns(docs):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_lm_score_is_brute_force(docs):
+    """All counts are in the model, those of one included; scores agree up to the quantisation."""
+    tokens = {i: [*words((t or "").lower()), "\n"] for i, t, *_ in corpus()}
+    c = Counter()
+    for i, w in tokens.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            c.update([(x,) for x in w] + list(zip(["^", *w], w, strict=False)) + list(zip(["^", *w], w, w[1:], strict=False)))
+            c["^",] += 1
+    n, v = sum(k for x, k in c.items() if len(x) == 1 and x != ("^",)), sum(len(x) == 1 for x in c) - 1
+    kinds = Counter(x[:-1] for x in c if len(x) > 1)
+
+    def p(w, *ctx):
+        if not ctx:
+            return (c[w,] + 0.1) / (n + 0.1 * (v + 1))
+        lower = p(w, *ctx[1:])
+        if not c[ctx]:
+            return lower
+        return (max(c[*ctx, w] - 0.75, 0) + 0.75 * kinds[ctx] * lower) / c[ctx]
+
+    assert sum(k == 1 for x, k in c.items() if len(x) > 1) > 3000
+    for r in ngram_lm.score(docs).collect():
+        w = tokens[r["doc_id"]]
+        s = ["^", *w]
+        want = sum(np.log10(p(x, *s[max(j - 1, 0) : j + 1])) for j, x in enumerate(w))
+        assert r["score"] == pytest.approx(want, abs=5e-4 * len(w))
+
+
 def test_null_ids_and_repeated_rows(spark):
     text = " ".join(f"t{i}" for i in range(60))
     df = spark.createDataFrame([(None, text), (1, text), (1, text), (1, "other words here " * 9)], "doc_id long, text string")
