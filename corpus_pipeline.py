@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated lines; a document all of whose lines stand elsewhere before goes."""
-    return lines.delete_repeats(docs, drop_emptied=True).select(*docs.columns)
+    """Cuts repeated runs of three lines, and of one or two with 50 words; a document all of whose lines stand elsewhere before goes."""
+    return lines.delete_repeats(docs, drop_emptied=True, least_words=50).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,11 @@ other occurrence are deleted, so what goes are the maximal later repeats of ``ru
 lines.  The first occurrence is a partial aggregate: a license text found in a third of all
 documents is combined before the shuffle.
 
+With ``least_words``, one or two lines that together hold so many words are compared in the
+same way, each such piece by its own hash, so long lines between lines of their own go too.
+
 Defined results: a null text stays null and an empty one empty; documents with fewer lines
-than a run lose nothing; ties are decided by id and line number; rows that repeat an id
+than a run lose nothing, unless ``least_words`` is given; ties are decided by id and line number; rows that repeat an id
 are told apart by a hash of the text, and equal rows are treated alike; null ids come last; a document that loses its last
 line with a word becomes empty (drop_emptied leaves it out); extra columns stay as they are;
 an empty table gives an empty result.
@@ -18,12 +21,15 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm.scratch import materialise
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
+WORD = HAS_WORD + "+"
 LAST = (1 << 63) - 1
 
 
@@ -38,32 +44,52 @@ def _print_at(h: Column, start: Column, run: int) -> Column:
     return (start + F.array_position(part, F.array_min(part)) - 1).cast("int")
 
 
-def delete_repeats(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+def _hashes(h: Column, start: Column, run: int) -> list[Column]:
+    """128 bits of the run at start."""
+    part = F.slice(h, start + 1, run)
+    return [F.xxhash64(part).alias("h1"), F.xxhash64(F.lit(run), F.reverse(part)).alias("h2")]
+
+
+def _short(rows: DataFrame, run: int, least_words: int) -> DataFrame:
+    """The pieces of fewer lines than a run that hold the words, with 128-bit hashes."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    def of(size: int) -> DataFrame:
+        enough = F.filter(_runs(F.col("h"), size), lambda i: total(F.slice("n", i + 1, size)) >= least_words)
+        return rows.select("id", "v", F.inline(F.transform(enough, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("len"), *_hashes(F.col("h"), i, size)))))
+
+    return reduce(DataFrame.unionByName, map(of, range(1, run)))
+
+
+def delete_repeats(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, least_words: int | None = None) -> DataFrame:
     """docs with the repeated lines cut from the text, and a struct column ``lines`` (n_lines, n_deleted)."""
     spark = docs.sparkSession
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
     split = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
     version = F.xxhash64(F.col(f"`{text_col}`").cast("string"))  # tells rows apart that repeat an id
-    marked = F.transform(split, lambda x, i: F.struct(i.cast("int").alias("i"), F.when(x.rlike(HAS_WORD), F.xxhash64(x)).alias("h")))
-    rows = docs.select(key.alias("id"), version.alias("v"), F.filter(F.coalesce(marked, F.array().cast("array<struct<i:int,h:bigint>>")), lambda x: x["h"].isNotNull()).alias("lines"))
-    rows = rows.where(F.size("lines") >= run).select("id", "v", F.col("lines.h").alias("h"), F.col("lines.i").alias("i"))
+    marked = F.transform(split, lambda x, i: F.struct(i.cast("int").alias("i"), F.when(x.rlike(HAS_WORD), F.xxhash64(x)).alias("h"), (F.lit(0) if least_words is None else F.regexp_count(x, F.lit(WORD))).alias("n")))
+    rows = docs.select(key.alias("id"), version.alias("v"), F.filter(F.coalesce(marked, F.array().cast("array<struct<i:int,h:bigint,n:int>>")), lambda x: x["h"].isNotNull()).alias("lines"))
+    counts = [] if least_words is None else [F.col("lines.n").alias("n")]
+    rows = rows.where(F.size("lines") >= (run if least_words is None else 1)).select("id", "v", F.col("lines.h").alias("h"), F.col("lines.i").alias("i"), *counts)
     rows = materialise(rows, "line-hashes")  # a few bytes a line, so later passes need no text
     # one narrow row for each run, so that no step holds or searches a document's lines at once
     h = F.col("h")
     runs = F.transform(
         _runs(h, run),
         lambda i: F.struct(
-            i.alias("pos"), _print_at(h, i, run).alias("at"), F.array_min(F.slice(h, i + 1, run)).alias("hash"),
-            F.xxhash64(F.slice(h, i + 1, run)).alias("h1"), F.xxhash64(F.lit(run), F.reverse(F.slice(h, i + 1, run))).alias("h2"),
+            i.alias("pos"), _print_at(h, i, run).alias("at"), F.array_min(F.slice(h, i + 1, run)).alias("hash"), *_hashes(h, i, run),
         ),
     )
     runs = materialise(rows.select("id", "v", F.inline(runs)), "line-runs")
     where = F.struct("id", "v", "at")
     repeated = runs.groupBy("hash").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("hash")
-    seeded = materialise(runs.join(repeated, "hash", "left_semi").select("id", "v", "pos", "h1", "h2"), "line-seeds")
-    first = seeded.groupBy("h1", "h2").agg(F.min(F.struct("id", "v", "pos")).alias("at")).select("at.id", "at.v", "at.pos")
-    again = seeded.join(first, ["id", "v", "pos"], "left_anti").groupBy("id", "v").agg(F.collect_set("pos").alias("starts"))
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.slice("i", p + 1, run))))
+    seeded = runs.join(repeated, "hash", "left_semi").select("id", "v", "pos", F.lit(run).alias("len"), "h1", "h2")
+    if least_words is not None:
+        seeded = seeded.unionByName(_short(rows, run, least_words))
+    seeded = materialise(seeded, "line-seeds")
+    first = seeded.groupBy("h1", "h2").agg(F.min(F.struct("id", "v", "pos", "len")).alias("at")).select("at.*")
+    again = seeded.join(first, ["id", "v", "pos", "len"], "left_anti").groupBy("id", "v").agg(F.collect_set(F.struct("pos", "len")).alias("starts"))
+    gone = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.slice("i", p["pos"] + 1, p["len"]))))
     cuts = materialise(again.join(rows, ["id", "v"]).dropDuplicates(["id", "v"]).select(F.col("id").alias("__id"), F.col("v").alias("__v"), gone.alias("__gone")), "line-cuts")
     # the text travels as its lines, so that no lambda splits it again
     n_lines = F.coalesce(F.size(F.filter(split, lambda x: x.rlike(HAS_WORD))), F.lit(0)).cast("long")

@@ -177,6 +177,33 @@ def test_lines(docs):
     assert out.columns == [*docs.columns, "lines"] and {r["doc_id"]: r["text"] for r in out.collect()} == want
 
 
+def brute_lines(rows, least):
+    """Lines that stay of each (id, text): runs of three, and shorter ones of enough words, go where they stood before."""
+    seen, out = set(), {}
+    for i, t in rows:
+        every = (t or "").split("\n")
+        at = [j for j, x in enumerate(every) if words(x)]
+        gone = set()
+        for k in (1, 2, 3):
+            for s in range(len(at) - k + 1):
+                x = tuple(every[j] for j in at[s : s + k])
+                if k == 3 or sum(len(words(y)) for y in x) >= least:
+                    if x in seen:
+                        gone |= set(at[s : s + k])
+                    seen.add(x)
+        out[i] = None if t is None else "\n".join(x for j, x in enumerate(every) if j not in gone)
+    return out
+
+
+def test_long_lines_between_own_lines(docs, spark):
+    long, half, short = (" ".join(f"{c}{j}" for j in range(n)) for c, n in (("l", 52), ("h", 25), ("s", 24)))
+    texts = [f"own {i}\n{long}\n\nmine {i}\n{half}\n{half} x\nend {i}\n{short}\n{short} y\nlast {i}" for i in range(3)] + [long, long, f"{long}\n{long}\nfew\n{long}"]
+    rows = [(i, t) for i, t, *_ in corpus()] + [(1000 + i, t) for i, t in enumerate(texts)]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(list(rows[-len(texts) :]), "doc_id long, text string"))
+    got = {r["doc_id"]: r["text"] for r in lines.delete_repeats(df, least_words=50).collect()}
+    assert got == brute_lines(rows, 50) and got[1001] == f"own 1\n\nmine 1\nend 1\n{short}\n{short} y\nlast 1" and got[1004] == ""
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs).select("doc_id", "source", "mix.*").collect()
     sizes = Counter()
