@@ -1,7 +1,7 @@
 """Operator 4, n-gram Jaccard join by prefix trees.
 
 A document's set holds the hashes (64 bits) of its distinct k-word shingles.  Documents with
-equal sets form a class and only its least id goes on.  Candidates then come in three exact
+equal sets form a class and only one row of it goes on, under that row's number.  Candidates then come in three exact
 steps, none of which forms pairs:
 
 * With e(a) = the most shingles that a set of size a may lack in a partner, the e + e/2 + 1
@@ -20,9 +20,9 @@ own; the links found then go through components() again.  Memory of a task is bo
 chunks.
 
 Defined results: a null, empty or blank text has an empty set and no links, its component is
-its own id; rows that repeat an id are one node of the graph; null ids are told apart from
-all others by a reserved number and return as null; an empty table gives an empty result;
-other columns are ignored.
+its own id; rows that repeat an id, or have none, are told apart by their texts, so each is
+compared, and a component has the least id of its rows, null only if none has one; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.llm.graph import components
@@ -71,7 +71,7 @@ def spare(n, percent: int):
 def _sketch(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in texts(batch.column(1)):
+            for c in texts(batch.column(2)):
                 doc, g = shingle_sets(c, k)
                 n = np.bincount(doc, minlength=c.n_docs)
                 edge = np.concatenate(([0], np.cumsum(n)))
@@ -85,7 +85,8 @@ def _sketch(k: int, percent: int):
                 kept = np.arange(len(g)) - edge[doc] < first[doc]
                 offsets = np.concatenate(([0], np.cumsum(first))).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(g[kept].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n_docs), pa.array(n), *signs, prefix], names=["id", "n", "s1", "s2", "prefix"])
+                own = [batch.column(i).slice(c.first, c.n_docs) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n), *signs, prefix], names=["id", "v", "n", "s1", "s2", "prefix"])
 
     return run
 
@@ -202,7 +203,7 @@ def join_block(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndar
 
 def _joined(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["block", "id"])
+        pdf = pdf.drop_duplicates(["block", "id"])  # equal rows only: an id here is the number of a set
         found = []
         for _, block in pdf.groupby("block", sort=False):
             ids = block["id"].to_numpy()
@@ -220,14 +221,20 @@ def _least_shared(n: Column, percent: int) -> Column:
     return (F.floor(e / 2) + 1).cast("int")
 
 
-def similar(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 1_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = materialise(rows.mapInArrow(_sketch(k, percent), "id long, n long, s1 long, s2 long, prefix array<long>"), "sets")
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What tells rows apart: the id and a hash of the text."""
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, block_shingles: int = 1_000_000) -> DataFrame:
+    """(id, v, n, root, least) of every row: number of its component, null for an empty set, and the least id there."""
+    own, version = _rows(docs, id_col, text_col)
+    rows = docs.select(own.alias("id"), version.alias("v"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    sets = rows.mapInArrow(_sketch(k, percent), "id long, v long, n long, s1 long, s2 long, prefix array<long>")
+    sets = materialise(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
     key = ["n", "s1", "s2"]
-    classes = materialise(sets.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep")), "classes")
-    alone = sets.join(classes, [*key], "inner").where("id = rep").select("id", "n", "prefix")
+    classes = materialise(sets.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.min("row").alias("node")), "classes")
+    alone = sets.join(classes, [*key], "inner").where("row = node").select(F.col("node").alias("id"), F.col("id").alias("doc"), "v", "n", "prefix")
     alone = materialise(alone, "representatives")
     postings = alone.select("id", "n", F.explode("prefix").alias("gram"))
     shared = postings.groupBy("gram").count().where("count > 1")
@@ -239,14 +246,14 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_i
     hubs = ties.groupBy("gram").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1")
     coarse = components(ties.join(hubs, "gram").select(F.col("id").alias("a"), F.col("hub").alias("b")))
     members = coarse.unionByName(coarse.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("root", "block")
-    members = members.join(keys.groupBy("id").agg(F.max("n").alias("n")), "id")
+    members = members.join(alone.select("id", "doc", "v", "n"), "id")
     members = materialise(members, "members")
     blocks = members.groupBy("block").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("parts"))
-    members = members.join(blocks, "block").select("id", "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "parts")
+    members = members.join(blocks, "block").select("id", "doc", "v", "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "parts")
     total, several, count = members.agg(F.count("*"), F.max("parts"), F.count("*")).first()
     if count <= SMALL_IDS:  # under 64 MB
         members = F.broadcast(members)
-    full = rows.join(members, "id").select("id", "text", "block", "part", "parts").mapInArrow(_full_sets(k), "id long, block long, part int, parts int, grams binary")
+    full = rows.withColumnRenamed("id", "doc").join(members, ["doc", "v"]).select("id", "text", "block", "part", "parts").mapInArrow(_full_sets(k), "id long, block long, part int, parts int, grams binary")
     # small blocks share tasks; a block of several parts has a task for each pair of parts
     other = F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(-1))))
     full = full.withColumn("other", other)
@@ -255,14 +262,34 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_i
     task = task.otherwise(F.struct(F.col("block"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
     links = materialise(full.groupBy(task.alias("task")).applyInPandas(_joined(percent), "a long, b long"), "pairs")
     roots = components(links) if (several or 0) > 1 else links.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    ids = sets.select("id", *key).join(classes, key, "left")
-    out = ids.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
-    null = lambda c: F.when(c < LAST, c)
-    return out.select(null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("root", "rep", "id")).alias("component_id"))
+    # the least id of each component with links
+    linked = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "node")
+    least = linked.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "root")
+    found = sets.select("id", "v", *key).join(classes, key, "left").join(linked, "node", "left")
+    return found.select("id", "v", "n", F.coalesce("root", "node").alias("root"), F.coalesce("least", "rep", "id").alias("least"))
+
+
+def similar(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 1_000_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    null = lambda c: F.when(F.col(c) < LAST, F.col(c))
+    return _grouped(docs, k, percent, id_col, text_col, block_shingles).select(null("id").alias("doc_id"), F.col("n").alias("n_shingles"), null("least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of its component, with all their columns."""
-    found = similar(docs, k, percent, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    """One row of each component, that of least id, with all its columns; rows without a word all stay."""
+    per = _grouped(docs, k, percent, id_col, text_col).where("root is not null").groupBy("root", "id", "v").agg(F.count("*").alias("c"))
+    per = materialise(per, "grouped")
+    first = per.groupBy("root").agg(F.min(F.struct("id", "v")).alias("first"), F.sum("c").alias("rows")).where("rows > 1")
+    odd = per.join(first, "root").select(F.col("id").alias("__id"), F.col("v").alias("__v"), (F.struct("id", "v") == F.col("first")).alias("__first"), "c")
+    odd = materialise(odd.where("not __first or c > 1").drop("c"), "odd")
+    own, version = _rows(docs, id_col, text_col)
+    marked = docs.withColumns({"__id": own, "__v": version})
+    out = marked.join(odd, ["__id", "__v"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    twice = odd.where("__first")
+    if twice.isEmpty():
+        return out
+    # of rows that repeat both id and text, one
+    place = F.row_number().over(Window.partitionBy("__id", "__v").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    kept = marked.join(twice, ["__id", "__v"], "left_semi").withColumn("__place", place).where("__place = 1")
+    return out.unionByName(kept.select(*[f"`{c}`" for c in docs.columns]))

@@ -303,6 +303,19 @@ def test_null_ids_and_repeated_rows(spark):
     assert {r["component_id"] for r in jaccard.similar(df).where("doc_id is null").collect()} == {1}
 
 
+def test_jaccard_of_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "p"), (1, b, "p"), (1, a, "p"), (1, a, "q"), (5, b + " x", "p"), (None, c, "p"), (None, a + " x", "p"), (None, c + " x", "p"), (None, c, "q"), (7, None, "p"), (None, "", "p"), (None, "", "p")]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.similar(df).collect())
+        assert got == {(1, 1): 4, (5, 1): 1, (None, 1): 1, (None, None): 5, (7, 7): 1}
+        kept = jaccard.one_of_each(df)
+        assert kept.columns == df.columns
+        left = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in kept.collect())
+        assert left == {(1, "a"): 1, (1, "b"): 1, (None, "c"): 1, (7, ""): 1, (None, ""): 2}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
