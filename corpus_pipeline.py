@@ -3,8 +3,8 @@
 Quality rules drop documents, line dedup cuts repeated runs of lines, the n-gram join leaves
 one document of each group of near copies (five-word shingles, 80 %), mixing repeats or
 drops documents towards the sources' target weights, and byte-level BPE encodes what is left.
-Rules are fitted by EM, so SQL cannot express the whole; tests compare it with a brute-force
-version.
+Rules are fitted by EM, so SQL cannot express the whole; no test compares its rows with a
+brute-force version.
 """
 
 from __future__ import annotations
