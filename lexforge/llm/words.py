@@ -19,8 +19,8 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_ODD = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+_LEFT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -31,37 +31,28 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = mix(np.arange(256, dtype=np.uint64), 7)
-
-
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n += n // 8
-            self.up, self.down = self._table(self.base, n), self._table(self.inverse, n)
-        return self.up, self.down
-
-    @staticmethod
-    def _table(base: int, n: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
-
-
-_BYTE_POWERS, _WORD_POWERS = _Powers(_ODD), _Powers(0xD6E8FEB86659FD93)
-
-
-def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
-    up, down = powers.get(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return (total[ends] - total[starts]) * down[starts]
+def _ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of byte ranges.
+
+    A range is read as lanes of eight bytes from its start on.  Each lane is mixed, then mixed
+    again with its number, so no combination of lanes cancels out, and the sum is mixed with
+    the length.
+    """
+    length = ends - starts
+    lanes = (length + 7) >> 3
+    edge = np.cumsum(lanes) - lanes
+    of = np.repeat(np.arange(len(starts)), lanes)
+    number = np.arange(len(of)) - edge[of]
+    at = starts[of] + (number << 3)
+    windows = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    empty = np.maximum(8 - (ends[of] - at), 0).astype(np.uint64) << np.uint64(3)
+    lane = windows[at] << empty  # at most 56 bits, as a lane has a byte
+    lane = mix(mix(lane) + number.astype(np.uint64) * _LEFT, salt)
+    total = np.zeros(len(starts), np.uint64)
+    some = lanes > 0
+    if len(lane):
+        total[some] = np.add.reduceat(lane, edge[some])
+    return mix(total + length.astype(np.uint64) * _LEFT, salt)
 
 
 class Chunk:
@@ -87,11 +78,11 @@ class Chunk:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         data = LOWER[self.data] if lower else self.data
-        return mix(_ranges(_BYTES[data], self.starts, self.ends, _BYTE_POWERS))
+        return _ranges(data, self.starts, self.ends, 7)
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of arbitrary byte ranges."""
-        return mix(_ranges(_BYTES[self.data], starts, ends, _BYTE_POWERS), 3)
+        return _ranges(self.data, starts, ends, 3)
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """Sum over each document's bytes."""
@@ -101,12 +92,25 @@ class Chunk:
 
 
 def grams(h: np.ndarray, doc: np.ndarray, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each run of k words of one document."""
+    """Start and hash of each run of k words of one document.
+
+    Hashes of two halves are joined and mixed, runs of a power of two first and then those that
+    add up to k.
+    """
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    part, width, done, out = mix(h, 11 + salt), 1, 0, None
+    while True:
+        if k & width:
+            out = part[:n] if out is None else mix(out * _LEFT + part[done : done + n], salt)
+            done += width
+        if done == k:
+            break
+        part = mix(part[:-width] * _LEFT + part[width:], salt)
+        width *= 2
     at = np.flatnonzero(doc[:n] == doc[k - 1 :])
-    return at, mix(_ranges(mix(h, 11 + salt), at, at + k, _WORD_POWERS), salt)
+    return at, mix(out[at], salt)
 
 
 def texts(column: pa.Array) -> Iterator[Chunk]:
