@@ -1,41 +1,39 @@
 """Operator 10, language-model scoring with an Elias-Fano n-gram trie of three levels.
 
 Level 1 has all training tokens, as sorted 63-bit hashes; a token's id is its place there.
-Level 2 has all pairs: successors of a token, all lists laid end
-to end as one monotone sequence of context * size + successor, with a monotone sequence of
-pointers to where each list starts.  Level 3 has triples (u, v, w) as place of (u, v) and
-place of w *among the successors of v*, so its numbers stay small; a search there is relative
-to the context.  Beside the keys stand quantised log10 probabilities (16 bits over 0 to -16)
-and, for contexts, the mass left for shorter ones.
+Level 2 has all pairs: successors of a token, all lists laid end to end as one monotone
+sequence of context * size + successor, with a monotone sequence of pointers to where each
+list starts.  Level 3 has triples (u, v, w) as place of (u, v) and place of w *among the
+successors of v*, so its numbers stay small; a search there is relative to the context.
+Beside the keys stand quantised log10 probabilities (16 bits over 0 to -16); the mass that a
+context leaves to shorter ones follows from its pointers or stands beside it in the same way.
 
 Smoothing is interpolated absolute discounting over all counts, those of one included, down to
 (c + 0.1) / (N + 0.1 * (V + 1)) for single tokens, so the model is a proper distribution up
 to the quantisation.
 
-All counts are sums over all training documents, partial sums first.  Each level's keys are
-dealt by range and packed by the executors; the driver only copies sorted blocks into the
-level's file, through memory maps, so its memory is that of a block.  Where the shared folder
-is a mounted one the files lie there and all executors map the same bytes; else they go to the
-executors with addFile.  They take some 14 bytes a token and 5 to 7 a pair or triple.
-
-Defined results: a null or empty text is the end token alone; documents train unless
-crc32(id) mod 10 is 0, a null id is held out; repeated rows train as often as they stand
-there; without training rows each token has probability 1 of 0.1 / 0.1; an empty table gives
-an empty result; other columns are ignored.
+A level is built in one shuffle.  Its keys are dealt by range into segments of about ``SEGMENT``
+tokens, whose bounds follow from the counts of the level above, a context of many tokens being
+cut among its successors.  Tasks that read texts send each segment sorted keys with sums, as
+compressed differences; a task merges a segment; then each segment's task writes its own part
+of the level's file in the shared folder, which all executors map.  The driver holds a few
+numbers a segment.  A task that runs twice writes the same bytes.  The shared folder
+(``spark.checkpoint.dir``) must be a mounted one, else train() refuses.
+
+Defined results: a null or empty text is the end token alone; very long texts are whole texts
+like others, in memory one at a time; documents train unless crc32(id) mod 10 is 0, a null id
+is held out; repeated rows train as often as they stand there; without training rows each token
+has probability 1 of 0.1 / 0.1; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +41,9 @@ from lexforge.llm import eliasfano
 from lexforge.llm.scratch import discard, materialise, mounted
 from lexforge.llm.words import Chunk, mix, texts
 
-ADD, DISCOUNT, BLOCK = 0.1, 0.75, 1 << 19
+#: Tokens that a task counts at once, and about those of a segment.
+HELD, SEGMENT = 1 << 22, 1 << 20
+ADD, DISCOUNT = 0.1, 0.75
 FLOOR, STEPS = -16.0, 65535
 END = int(mix(np.array([0x454E44], np.uint64), 99)[0] >> np.uint64(1))
 
@@ -59,29 +59,30 @@ def value(codes: np.ndarray) -> np.ndarray:
 _LOADED: dict[str, tuple[dict, dict]] = {}
 
 
-def _file(name: str) -> tuple[dict, dict]:
-    if name not in _LOADED:
-        _LOADED[name] = eliasfano.load(name if os.path.isabs(name) else SparkFiles.get(name))
-    return _LOADED[name]
+def _file(path: str) -> tuple[dict, dict]:
+    if path not in _LOADED:
+        if len(_LOADED) > 30:  # of models that this process read before
+            _LOADED.clear()
+        _LOADED[path] = eliasfano.load(path)
+    return _LOADED[path]
 
 
 class Trie:
     """The levels whose files are given, for lookups of whole arrays."""
 
     def __init__(self, files: list[str]):
-        self.files = files
         levels = [_file(f) for f in files]
-        self.one, self.facts = levels[0]
-        self.n, self.total = self.facts["n"], self.facts["total"]
-        self.words = eliasfano.Sequence(self.one, self.n, self.facts["low"])
+        self.one, facts = levels[0]
+        self.n, self.total, self.trained = facts["n"], facts["total"], facts["trained"]
+        self.words = eliasfano.Sequence(self.one, facts["low"])
         if len(levels) > 1:
             self.two, facts = levels[1]
-            self.pairs = eliasfano.Sequence(self.two, facts["n"], facts["low"])
-            self.starts = eliasfano.Sequence({k: self.two["p_" + k] for k in ("low", "high", "ones")}, self.n + 2, facts["p_low"])
+            self.pairs = eliasfano.Sequence(self.two, facts["low"])
+            self.starts = eliasfano.Sequence(self.two, facts["p_low"], "p_")
             self.widest = facts["widest"]
         if len(levels) > 2:
             self.three, facts = levels[2]
-            self.triples = eliasfano.Sequence(self.three, facts["n"], facts["low"])
+            self.triples = eliasfano.Sequence(self.three, facts["low"])
 
     def sequence(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the chunk's distinct words (-1: unknown) and, last, of the start; start, words and end of
@@ -129,10 +130,28 @@ class Trie:
             out[both] = pairs[both - 1] * self.widest + pairs[both] - starts[seq[both - 1]]
         return out
 
+    def count(self, ids: np.ndarray) -> np.ndarray:
+        """How often the tokens stand in training texts, -1 never, and the start as often as there are texts."""
+        out, some = np.zeros(len(ids)), np.flatnonzero((ids >= 0) & (ids < self.n))
+        out[some] = self.one["count"][ids[some]]
+        out[ids == self.n] = self.trained
+        return out
+
     def base(self, ids: np.ndarray) -> np.ndarray:
-        count, some = np.zeros(len(ids)), np.flatnonzero((ids >= 0) & (ids < self.n))
-        count[some] = self.one["count"][ids[some]]
-        return np.log10((count + ADD) / (self.total + ADD * (self.n + 1)))
+        return np.log10((np.where(ids < self.n, self.count(ids), 0) + ADD) / (self.total + ADD * (self.n + 1)))
+
+    def width(self, ids: np.ndarray) -> np.ndarray:
+        """Number of different successors."""
+        ids = np.maximum(ids, 0)
+        return self.starts.get(ids + 1) - self.starts.get(ids)
+
+    def left(self, ids: np.ndarray) -> np.ndarray:
+        """log10 of what each context leaves to single tokens; 0 for one without successors."""
+        out, some = np.zeros(len(ids)), np.flatnonzero(ids >= 0)
+        width = self.width(ids[some])
+        some, width = some[width > 0], width[width > 0]
+        out[some] = np.log10(DISCOUNT * width / self.count(ids[some]))
+        return out
 
     def score(self, c: Chunk) -> list[np.ndarray]:
         """The big arrays are read once for each distinct word, pair and triple, in ascending order."""
@@ -143,7 +162,7 @@ class Trie:
         triple, at3 = self._each(self.triples.find, self.triple_keys(words, seq, pairs))
         # what a document's start gets here from the one before is left out below
         out = single.copy()
-        out[1:] += self._logs(self.two["rest"], words)[seq[:-1]]
+        out[1:] += self.left(words)[seq[:-1]]
         out = np.where(pairs >= 0, self._logs(self.two["logp"], pair)[at2], out)
         out[1:] += self._logs(self.three["rest"], pair)[at2[:-1]]
         out = np.where((triple >= 0)[at3], self._logs(self.three["logp"], triple)[at3], out)
@@ -153,8 +172,25 @@ class Trie:
         return [np.diff(c.bounds) + 1, add((words >= 0)[seq]).astype(np.int64), add(single), add(out)]
 
 
-def _counted(key):
-    """Counts of the keys of some millions of tokens at a time."""
+#: Ascending keys with sums, and of the first and last context there how many keys and their sum.
+PACKED = "segment long, n long, least long, most long, total long, first long, first_n long, first_sum long, last long, last_n long, last_sum long, widest long, part binary"
+
+
+def _wrap(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Byte planes of the keys' differences and of the counts, compressed."""
+    planes = [np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(keys, prepend=0), counts)]
+    return len(keys).to_bytes(8, "little") + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unwrap(part: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(part[:8], "little")
+    raw = np.frombuffer(pa.decompress(part[8:], 16 * n, codec="zstd", asbytes=True), np.uint8)
+    gaps, counts = (np.ascontiguousarray(x.reshape(8, n).T).view("<i8").ravel() for x in (raw[: 8 * n], raw[8 * n :]))
+    return np.cumsum(gaps), counts
+
+
+def _sums(key: Callable[[Chunk], np.ndarray], emit: Callable[[np.ndarray, np.ndarray], pa.RecordBatch]):
+    """Sums of the keys of some millions of tokens at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -162,12 +198,12 @@ def _counted(key):
         def flush():
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+            return emit(keys, n)
 
         for batch in batches:
             for c in texts(batch.column(0)):
                 held.append(key(c))
-                if sum(map(len, held)) >= 8 * BLOCK:
+                if sum(map(len, held)) >= HELD:
                     yield flush()
         if held:
             yield flush()
@@ -175,190 +211,205 @@ def _counted(key):
     return run
 
 
+def _as_rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+
+def _as_parts(bounds: str):
+    """One row for each segment that has keys."""
+
+    def emit(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        edge = np.append(np.searchsorted(keys, np.load(bounds, mmap_mode="r")), len(keys))
+        some = np.flatnonzero(np.diff(edge))
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.array([_wrap(keys[a:b], n[a:b]) for a, b in zip(edge[some], edge[some + 1], strict=True)], pa.binary())], names=["segment", "part"])
+
+    return emit
+
+
 def _word_keys(c: Chunk) -> np.ndarray:
     h = (c.hashes(lower=True) >> np.uint64(1)).astype(np.int64)
     return np.concatenate([h, np.full(c.n_docs, END)])
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _of_contexts(keys: np.ndarray, counts: np.ndarray, divisor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, their numbers of keys and sums, and for each key the place of its context among those."""
+    ctx = keys // divisor
+    new = np.flatnonzero(np.diff(ctx, prepend=-1))
+    n = np.diff(np.append(new, len(keys)))
+    return ctx[new], n, np.add.reduceat(counts, new), np.repeat(np.arange(len(new)), n)
+
+
+def _merged(divisor: int):
+    """Adds up the parts of one segment."""
 
-    def block():
-        k, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array([int(k[0])]), pa.array([k.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["first", "keys", "counts"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if "part" in pdf:
+            keys, counts = (np.concatenate(x) for x in zip(*map(_unwrap, pdf["part"]), strict=True))
+        else:
+            keys, counts = pdf["key"].to_numpy(), pdf["n"].to_numpy()
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        new = np.flatnonzero(np.diff(keys, prepend=-1))
+        keys, counts = keys[new], np.add.reduceat(counts, new)
+        ctx, n, sums, _ = _of_contexts(keys, counts, divisor)
+        row = (pdf["segment"].iloc[0], len(keys), keys[0], keys[-1], counts.sum(), ctx[0], n[0], sums[0], ctx[-1], n[-1], sums[-1], n.max(), _wrap(keys, counts))
+        return pd.DataFrame([row], columns=[c.split()[0] for c in PACKED.split(", ")])
 
-    for batch in batches:
-        if batch.num_rows:
-            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
-        if sum(len(k) for k, _ in held) >= BLOCK:
-            yield block()
-            held = []
-    if held:
-        yield block()
+    return run
 
 
-def _sorted_blocks(counts: DataFrame) -> tuple[int, int, int, Iterator[tuple[np.ndarray, np.ndarray]]]:
-    """Number of keys, largest key, sum of counts, and (keys, counts) in order, some at a time."""
+def _cuts(weights: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where running sums pass a multiple of segment: the place, and the share of its weight."""
+    total = np.cumsum(weights)
+    at = np.arange(segment, (total[-1] if len(total) else 0) + 1, segment)
+    i = np.searchsorted(total, at)
+    return i, 1 - (total[i] - at) / weights[i]
+
+
+class _Level:
+    """A level's segments while it is built: a few numbers of each here, the keys in a table."""
+
+    def __init__(self, table: DataFrame):
+        self.table = materialise(table, "segments")
+        f = self.facts = self.table.drop("part").orderBy("segment").toPandas()  # one row for a million tokens
+        self.segments = f["segment"].to_numpy()
+        self.n = f["n"].to_numpy(np.int64)
+        self.low, self.arrays, self.known = eliasfano.plan(self.n, f["least"].to_numpy(np.int64), (f["most"] - f["least"]).to_numpy(np.int64))
+        other = f[f["last"] != f["first"]]
+        self.edge, inverse = np.unique(np.concatenate([f["first"], other["last"]]).astype(np.int64), return_inverse=True)
+        add = lambda c: np.bincount(inverse, np.concatenate([f["first_" + c], other["last_" + c]]).astype(float), len(self.edge))
+        #: Contexts that may go on in the next segment, with what all segments have of them.
+        self.edge_n, self.edge_sum = add("n").astype(np.int64), add("sum").astype(np.int64)
+        self.widest = int(max([1, *f["widest"], *self.edge_n]))
+
+    def write(self, path: str, lay: Callable[[dict, int, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+        """lay(arrays, segment, keys, counts) on executors, for each segment; what it returns, together."""
+        segments = self.segments
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            arrays, _ = eliasfano.load(path, write=True)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    found = lay(arrays, int(np.searchsorted(segments, row["segment"])), *_unwrap(row["part"]))
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in found], names=["a", "b", "c"])
+            for x in arrays.values():
+                if isinstance(x, np.memmap):
+                    x.flush()
+
+        rows = self.table.select("segment", "part").mapInArrow(run, "a binary, b binary, c binary").collect()  # a number or so a segment
+        discard(self.table)
+        return [np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in rows)]) for c, kind in (("a", np.int64), ("b", np.float64), ("c", np.int64))]
+
+
+def _with_edges(own: tuple, edge: np.ndarray, edge_n: np.ndarray, edge_sum: np.ndarray) -> tuple:
+    """_of_contexts() with the first and the last context taken over all segments."""
+    ctx, n, sums, of = own
+    for i in {0, len(ctx) - 1}:
+        at = np.searchsorted(edge, ctx[i])
+        n[i], sums[i] = edge_n[at], edge_sum[at]
+    return ctx, n, sums, of
+
+
+def train(docs: DataFrame, segment: int = SEGMENT) -> list[str]:
+    """Paths of the level files for Trie(), which all executors can map.  docs: one column, the text."""
+    here = mounted(docs.sparkSession, "trie")
+    if here is None:
+        raise ValueError("spark.checkpoint.dir must be a folder that all executors have mounted")
+    one, two, three = (f"{here}/level-{i}.ef" for i in (1, 2, 3))
+
+    def segments(key, bounds: np.ndarray, divisor: int, name: str) -> DataFrame:
+        np.save(path := f"{here}/{name}.npy", np.unique(np.append(bounds, 0)))
+        parts = docs.mapInArrow(_sums(key, _as_parts(path)), "segment long, part binary")
+        return parts.repartition(min(len(bounds) + 1, 10_000), "segment").groupBy("segment").applyInPandas(_merged(divisor), PACKED)
+
+    # level 1: hashes, so ranges of equal length hold equally many
+    counts = docs.mapInArrow(_sums(_word_keys, _as_rows), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "counts")
-    n, top, total = counts.agg(F.count("*"), F.coalesce(F.max("key"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    packed = counts.repartitionByRange(max(1, -(-n // BLOCK)), "key").sortWithinPartitions("key").mapInArrow(_pack, "first long, keys binary, counts binary")
-    packed = materialise(packed, "blocks")
+    size, total, trained = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("key") == END, F.col("n"))), F.lit(0))).first()
+    base, bits = size + 1, max(0, (size // segment).bit_length())
+    if base * base >= 1 << 63:
+        raise ValueError("more different tokens than pairs can be numbered for")
+    dealt = counts.withColumn("segment", F.shiftright("key", 63 - bits) if bits else F.lit(0).cast("long")).repartition(1 << bits, "segment")
+    level = _Level(dealt.groupBy("segment").applyInPandas(_merged(1 << 62), PACKED))
     discard(counts)
+    eliasfano.create(one, level.arrays | {"count": ("i8", size)}, level.known, n=size, low=level.low, total=int(total), trained=int(trained))
+    off, low = level.known["off"], level.low
+
+    def lay_words(a, s, keys, counts):
+        eliasfano.write(a, low, s, keys)
+        a["count"][off[s] : off[s + 1]] = counts
+        place, share = _cuts(np.minimum(counts, base), segment)
+        return off[s] + place, share, place
 
-    def blocks():
-        rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for row in packed.orderBy("first").toLocalIterator():
-            k = np.concatenate([rest[0], np.frombuffer(row["keys"], np.int64)])
-            c = np.concatenate([rest[1], np.frombuffer(row["counts"], np.int64)])
-            whole = len(k) // 8 * 8
-            yield k[:whole], c[:whole]
-            rest = k[whole:], c[whole:]
-        yield rest
-        discard(packed)
-
-    return n, top, total, blocks()
-
-
-def _fill(writer: eliasfano.Writer, blocks, count: np.ndarray, keys: np.ndarray | None = None) -> None:
-    at = 0
-    for k, c in blocks:
-        writer.add(k)
-        count[at : at + len(k)] = c
-        if keys is not None:
-            keys[at : at + len(k)] = k
-        at += len(k)
-    writer.finish()
-
-
-def train(docs: DataFrame) -> list[str]:
-    """Names of the level files for Trie(), known to all executors.  docs: one column, the text."""
-    spark = docs.sparkSession
-    here = os.path.realpath(tempfile.mkdtemp(prefix="trie-"))
-    atexit.register(shutil.rmtree, here, True)
-    shared = mounted(spark, "trie")
-    there = shared or here
-    files: list[str] = []
-
-    def ship(name: str) -> None:
-        if not shared:
-            spark.sparkContext.addFile(f"{there}/{name}")
-        files.append(f"{there}/{name}" if shared else name)
-
-    def new() -> str:
-        return f"level-{uuid.uuid4().hex}.ef"
-
-    def count(key) -> DataFrame:
-        return docs.mapInArrow(_counted(key), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-    # level 1
-    size, top, total, blocks = _sorted_blocks(count(_word_keys))
-    low, arrays = eliasfano.plan(size, top)
-    one = new()
-    level1 = eliasfano.create(f"{there}/{one}", arrays | {"count": ("i8", size)}, n=size, low=low, total=int(total))
-    _fill(eliasfano.Writer(level1, low), blocks, level1["count"])
-    ship(one)
-    trained = int(level1["count"][eliasfano.Sequence(level1, size, low).find(np.array([END]))[0]]) if size else 0
-    base = size + 1
+    place, share, _ = level.write(one, lay_words)
+    start, part = _cuts(np.array([min(trained, base)]), segment)
+    place, share = np.append(place, start + size), np.append(share, part)
 
     # level 2
     def pair_keys(c: Chunk) -> np.ndarray:
-        trie = Trie(files[:1])
+        trie = Trie([one])
         words, seq, _, first = trie.sequence(c)
         keys = trie.pair_keys(words[seq], first)
         return keys[keys >= 0]
 
-    n2, top, _, blocks = _sorted_blocks(count(pair_keys))
-    low, arrays = eliasfano.plan(n2, top)
-    p_low, pointers = eliasfano.plan(base + 1, n2)
-    temp = {k: np.memmap(f"{here}/{k}.tmp", np.int64, "w+", shape=(max(n2, 1),)) for k in ("keys", "counts")}
-    starts = np.memmap(f"{here}/starts.tmp", np.int64, "w+", shape=(base + 1,))
-    two = new()
-    arrays |= {"p_" + k: v for k, v in pointers.items()} | {"logp": ("u2", n2), "rest": ("u2", base)}
-    # the widest list is known only after the keys are there, so they are laid down first
-    at = 0
-    for k, c in blocks:
-        temp["keys"][at : at + len(k)], temp["counts"][at : at + len(k)] = k, c
-        at += len(k)
-    for a in range(0, base + 1, BLOCK):
-        starts[a : a + BLOCK] = np.searchsorted(temp["keys"][:n2], np.arange(a, min(a + BLOCK, base + 1)) * base)
-    widest = int(max([1, *(np.diff(starts[a : a + BLOCK + 1]).max() for a in range(0, base, BLOCK))]))
-    level2 = eliasfano.create(f"{there}/{two}", arrays, n=n2, low=low, p_low=p_low, widest=widest)
-    writer, pointer = eliasfano.Writer(level2, low), eliasfano.Writer({k: level2["p_" + k] for k in pointers}, p_low)
-    for a in range(0, n2, BLOCK):
-        writer.add(temp["keys"][a : min(a + BLOCK, n2)])
-    for a in range(0, base + 1, BLOCK):
-        pointer.add(starts[a : a + BLOCK])
-    writer.finish()
-    pointer.finish()
-    rest2 = np.memmap(f"{here}/rest2.tmp", np.float64, "w+", shape=(base,))
-    for a, b, lo, hi in _contexts(starts, base):
-        c2 = temp["counts"][lo:hi].astype(float)
-        totals = np.append(level1["count"][a:b], trained)[: b - a].astype(float)
-        width = np.diff(starts[a : b + 1])
-        of = np.repeat(np.arange(b - a), width)
-        kept = np.bincount(of, c2 - DISCOUNT, b - a)
-        rest2[a:b] = np.where(totals > 0, 1 - kept / np.maximum(totals, 1), 1.0)
-        level2["rest"][a:b] = quantise(np.log10(np.maximum(rest2[a:b], 1e-16)))
-        word = temp["keys"][lo:hi] % base
-        p1 = (level1["count"][word] + ADD) / (total + ADD * base) if hi > lo else c2
-        level2["logp"][lo:hi] = quantise(np.log10((c2 - DISCOUNT) / totals[of] + rest2[a:b][of] * p1))
-    ship(two)
+    bounds = np.unique(np.append(place * base + (share * base).astype(np.int64), 0))
+    level = _Level(segments(pair_keys, bounds, base, "pairs"))
+    # a segment has the pointers of the contexts that begin in its range
+    least = bounds[level.segments]
+    least[:1] = 0
+    owned = np.append(-(-least // base), base + 1) if len(least) else np.zeros(1, np.int64)
+    off2, low2, widest = level.known["off"], level.low, level.widest
+    p_low, p_arrays, p_known = eliasfano.plan(np.diff(owned), off2[:-1], level.n, "p_")
+    if int(off2[-1]) * widest >= 1 << 63:
+        raise ValueError("more different pairs than triples can be numbered for")
+    eliasfano.create(two, level.arrays | p_arrays | {"logp": ("u2", int(off2[-1]))}, level.known | p_known, low=low2, p_low=p_low, widest=widest)
+    edges2 = level.edge, level.edge_n, level.edge_sum
+
+    def lay_pairs(a, s, keys, counts):
+        trie = Trie([one])
+        eliasfano.write(a, low2, s, keys)
+        eliasfano.write(a, p_low, s, off2[s] + np.searchsorted(keys, np.arange(owned[s], owned[s + 1]) * base), "p_")
+        ctx, n, _, of = _with_edges(_of_contexts(keys, counts, base), *edges2)
+        totals, p1 = trie.count(ctx), (trie.count(keys % base) + ADD) / (total + ADD * base)
+        a["logp"][off2[s] : off2[s + 1]] = quantise(np.log10((counts - DISCOUNT) / totals[of] + (DISCOUNT * n / totals)[of] * p1))
+        place, share = _cuts(counts, segment)
+        return off2[s] + place, share, keys[place] % base
+
+    place, share, last = level.write(two, lay_pairs)
 
     # level 3
     def triple_keys(c: Chunk) -> np.ndarray:
-        trie = Trie(files[:2])
+        trie = Trie([one, two])
         words, seq, _, first = trie.sequence(c)
         pair, at = trie._each(trie.pairs.find, trie.pair_keys(words[seq], first))
         keys = trie.triple_keys(words, seq, pair[at])
         return keys[keys >= 0]
 
-    n3, top, _, blocks = _sorted_blocks(count(triple_keys))
-    low, arrays = eliasfano.plan(n3, top)
-    three = new()
-    level3 = eliasfano.create(f"{there}/{three}", arrays | {"logp": ("u2", n3), "rest": ("u2", n2)}, n=n3, low=low)
-    keys3, counts3 = (np.memmap(f"{here}/{k}3.tmp", np.int64, "w+", shape=(max(n3, 1),)) for k in ("keys", "counts"))
-    writer, kept3 = eliasfano.Writer(level3, low), np.memmap(f"{here}/kept3.tmp", np.float64, "w+", shape=(max(n2, 1),))
-    at = 0
-    for k, c in blocks:
-        writer.add(k)
-        keys3[at : at + len(k)], counts3[at : at + len(k)] = k, c
-        if len(k):
-            ctx = k // widest
-            kept3[ctx[0] : ctx[-1] + 1] += np.bincount(ctx - ctx[0], c - DISCOUNT)
-        at += len(k)
-    writer.finish()
-    for a in range(0, n2, BLOCK):
-        c2 = temp["counts"][a : min(a + BLOCK, n2)].astype(float)
-        level3["rest"][a : a + len(c2)] = quantise(np.log10(np.maximum(1 - kept3[a : a + len(c2)] / c2, 1e-16)))
-    for a in range(0, n3, BLOCK):
-        k, c3 = keys3[a : min(a + BLOCK, n3)], counts3[a : min(a + BLOCK, n3)].astype(float)
-        ctx = k // widest
-        lower = starts[temp["keys"][ctx] % base] + k % widest
-        left = 1 - kept3[ctx] / temp["counts"][ctx]
-        level3["logp"][a : a + len(k)] = quantise(np.log10((c3 - DISCOUNT) / temp["counts"][ctx] + left * 10 ** value(level2["logp"][lower])))
-    del temp, starts, rest2, keys3, counts3, kept3  # else the bytes stay while they are mapped
-    for f in os.listdir(here):
-        if f.endswith(".tmp"):
-            os.unlink(f"{here}/{f}")
-    ship(three)
-    return files
-
-
-def _contexts(starts: np.ndarray, base: int) -> Iterator[tuple[int, int, int, int]]:
-    """Ranges of contexts with at most BLOCK contexts and about that many pairs."""
-    a = 0
-    while a < base:
-        b = min(a + BLOCK, base)
-        b = max(a + 1, min(b, int(np.searchsorted(starts[a : b + 1], starts[a] + BLOCK)) + a))
-        yield a, b, int(starts[a]), int(starts[b])
-        a = b
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    bounds = np.unique(np.append(place * widest + (share * Trie([one, two]).width(last)).astype(np.int64), 0))
+    level = _Level(segments(triple_keys, bounds, widest, "triples"))
+    off3, low3 = level.known["off"], level.low
+    eliasfano.create(three, level.arrays | {"logp": ("u2", int(off3[-1])), "rest": ("u2", int(off2[-1]))}, level.known, low=low3)
+    edges3 = level.edge, level.edge_n, level.edge_sum
+
+    def lay_triples(a, s, keys, counts):
+        trie = Trie([one, two])
+        eliasfano.write(a, low3, s, keys)
+        ctx, n, sums, of = _with_edges(_of_contexts(keys, counts, widest), *edges3)
+        left = DISCOUNT * n / sums
+        a["rest"][ctx] = quantise(np.log10(left))
+        lower = trie.starts.get(trie.pairs.get(ctx) % base)[of] + keys % widest
+        a["logp"][off3[s] : off3[s + 1]] = quantise(np.log10((counts - DISCOUNT) / sums[of] + left[of] * 10 ** value(trie.two["logp"][lower])))
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    level.write(three, lay_triples)
+    return [one, two, three]
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """Trains on the rows that are not held out and scores all."""
     fold = F.pmod(F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)), F.lit(10))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    files = train(rows.where(~F.col("held_out")).select("text"))
+    files = train(rows.where(~F.col("held_out")).select("text"), segment)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(files)

@@ -242,16 +242,26 @@ def test_bounded_loads_move_little():
 
 
 def test_eliasfano(tmp_path):
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 5000))
-    low, arrays = eliasfano.plan(len(keys), int(keys[-1]))
-    held = eliasfano.create(str(tmp_path / "x"), arrays)
-    writer = eliasfano.Writer(held, low)
-    for i in range(0, len(keys), 512):
-        writer.add(keys[i : i + 512])
-    writer.finish()
-    seq = eliasfano.Sequence(eliasfano.load(str(tmp_path / "x"))[0], len(keys), low)
-    assert (seq.find(keys) == np.arange(len(keys))).all() and (seq.get(np.arange(len(keys))) == keys).all()
-    assert (seq.find(np.setdiff1d(keys + 1, keys)) == -1).all()
+    rng = np.random.default_rng(1)
+    for top, n in ((1 << 40, 5000), (6000, 5000), (1 << 62, 300), (100, 1)):
+        keys = np.unique(rng.integers(0, top, n))
+        parts = np.split(keys, [len(keys) // 3, len(keys) // 2]) if len(keys) > 10 else [keys]
+        low, arrays, known = eliasfano.plan(np.array([len(x) for x in parts]), np.array([x[0] for x in parts]), np.array([x[-1] - x[0] for x in parts]))
+        eliasfano.create(path := str(tmp_path / "x"), arrays, known)
+        for i in [2, 0, 1, 2] if len(parts) > 1 else [0]:  # in any order, and again
+            eliasfano.write(eliasfano.load(path, write=True)[0], low, i, parts[i])
+        seq = eliasfano.Sequence(eliasfano.load(path)[0], low)
+        assert (seq.find(keys) == np.arange(len(keys))).all() and (seq.get(np.arange(len(keys))) == keys).all()
+        assert (seq.find(np.setdiff1d(np.concatenate([keys + 1, keys - 1, [0, top + 9]]), keys)) == -1).all()
+
+
+def test_eliasfano_pointers(tmp_path):
+    parts = [np.array([0, 0, 3, 3]), np.zeros(0, np.int64), np.array([3, 7, 9]), np.array([9])]
+    low, arrays, known = eliasfano.plan(np.array([4, 0, 3, 1]), np.array([0, 3, 3, 9]), np.array([3, 0, 6, 0]), "p_")
+    eliasfano.create(path := str(tmp_path / "x"), arrays, known)
+    for i, x in enumerate(parts):
+        eliasfano.write(eliasfano.load(path, write=True)[0], low, i, x, "p_")
+    assert eliasfano.Sequence(eliasfano.load(path)[0], low, "p_").get(np.arange(8)).tolist() == np.concatenate(parts).tolist()
 
 
 def test_lm_learns(docs):
@@ -269,8 +279,12 @@ def test_lm_learns(docs):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
-def test_lm_score_is_brute_force(docs):
-    """All counts are in the model, those of one included; scores agree up to the quantisation."""
+@pytest.mark.parametrize("segment", [1 << 20, 400])
+def test_lm_score_is_brute_force(docs, segment):
+    """All counts are in the model, those of one included; scores agree up to the quantisation.
+
+    With small segments, contexts go over several.
+    """
     tokens = {i: [*words((t or "").lower()), "\n"] for i, t, *_ in corpus()}
     c = Counter()
     for i, w in tokens.items():
@@ -289,7 +303,7 @@ def test_lm_score_is_brute_force(docs):
         return (max(c[*ctx, w] - 0.75, 0) + 0.75 * kinds[ctx] * lower) / c[ctx]
 
     assert sum(k == 1 for x, k in c.items() if len(x) > 1) > 3000
-    for r in ngram_lm.score(docs).collect():
+    for r in ngram_lm.score(docs, segment=segment).collect():
         w = tokens[r["doc_id"]]
         s = ["^", *w]
         want = sum(np.log10(p(x, *s[max(j - 1, 0) : j + 1])) for j, x in enumerate(w))
