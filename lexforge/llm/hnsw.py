@@ -10,10 +10,13 @@ each.  The nearest found by all shards are merged and scored in double precision
 Search and insertion are done for many vectors in lockstep: each step takes the nearest
 unexpanded candidate of every row and scores its neighbours in one array operation.
 
+All distances are in double precision, so finite float components of any size keep their order.
+
 Defined results: vectors that are null or zero, or hold null or non-finite components, and
 rows without an id take no part; vectors of different lengths never meet; rows that repeat an
-id are one candidate; ties go to the smaller id; with fewer than k candidates all are
-returned; an empty table gives an empty result; other columns are ignored.
+id are one candidate, at the least distance of their vectors, and one query, with the least of
+their vectors in order of components; ties go to the smaller id; with fewer than k candidates
+all are returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +35,11 @@ LINKS, BUILD, SEARCH, BATCH = 16, 80, 160, 256
 
 class Graph:
     def __init__(self, vectors: np.ndarray, seed: int = 7):
-        self.vectors = np.ascontiguousarray(vectors, np.float32)
+        self.vectors = np.ascontiguousarray(vectors, np.float64)
+        self.squares = (self.vectors * self.vectors).sum(1)
         n = len(vectors)
+        #: Distances computed so far.
+        self.computed = 0
         u = np.random.default_rng(seed).random(n)
         self.level = np.minimum((-np.log(np.maximum(u, 1e-12)) / np.log(LINKS)).astype(np.int64), 8)
         top = int(self.level.max()) if n else -1
@@ -50,14 +56,14 @@ class Graph:
         return self
 
     def _distance(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        diff = self.vectors[ids] - q[:, None, :]
-        return np.einsum("bkd,bkd->bk", diff, diff)
+        self.computed += ids.size
+        return np.maximum(self.squares[ids] + (q * q).sum(1)[:, None] - 2 * np.matmul(self.vectors[ids], q[:, :, None])[:, :, 0], 0)
 
     def layer(self, q: np.ndarray, entry: np.ndarray, level: int, breadth: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest found from entry (B, e) on one level: ids and squared distances, nearest first."""
         rows, near = len(q), self.near[level]
         ids = np.full((rows, breadth), -1, np.int64)
-        dist = np.full((rows, breadth), np.inf, np.float32)
+        dist = np.full((rows, breadth), np.inf)
         spent = np.ones((rows, breadth), bool)
         seen = np.zeros((rows, len(self.vectors)), bool)
         e = entry.shape[1]
@@ -75,7 +81,7 @@ class Graph:
             around = near[ids[active, at]].astype(np.int64)
             fresh = (around >= 0) & ~seen[active[:, None], np.maximum(around, 0)]
             seen[active[:, None], np.maximum(around, 0)] |= fresh
-            d = np.where(fresh, self._distance(q[active], np.maximum(around, 0)), np.inf).astype(np.float32)
+            d = np.where(fresh, self._distance(q[active], np.maximum(around, 0)), np.inf)
             all_d = np.concatenate([dist[active], d], 1)
             best = np.argsort(all_d, 1, kind="stable")[:, :breadth]
             all_ids = np.concatenate([ids[active], around], 1)
@@ -94,7 +100,7 @@ class Graph:
         v = self.vectors[ids]
         sq = (v * v).sum(1)
         between = sq[:, None] + sq[None, :] - 2 * (v @ v.T)
-        closest = np.full(len(ids), np.inf, np.float32)
+        closest = np.full(len(ids), np.inf)
         kept = []
         for i in range(len(ids)):
             if dist[i] < closest[i]:
@@ -111,7 +117,7 @@ class Graph:
         entry = np.full((len(new), 1), max(self.entry, 0), np.int64)
         for level in range(max(old_top, int(self.level[new].max())), -1, -1):
             here = np.flatnonzero(self.level[new] >= level)
-            found = np.zeros((len(new), 0), np.int64), np.zeros((len(new), 0), np.float32)
+            found = np.zeros((len(new), 0), np.int64), np.zeros((len(new), 0))
             if level <= old_top:
                 found = self.layer(q, entry, level, BUILD if level == 0 else 16)
                 entry = found[0][:, : 1 if level else 4]
@@ -147,7 +153,7 @@ class Graph:
 
     def search(self, q: np.ndarray, k: int) -> np.ndarray:
         """(B, k) numbers of the nearest nodes found, -1 where there are none."""
-        q = np.ascontiguousarray(q, np.float32)
+        q = np.ascontiguousarray(q, np.float64)
         entry = np.full((len(q), 1), self.entry, np.int64)
         for level in range(self.top, 0, -1):
             entry = self.layer(q, entry, level, 8)[0][:, :1]
@@ -160,7 +166,8 @@ class Graph:
     @classmethod
     def load(cls, vectors: np.ndarray, entry: int, level_sizes, level_nodes: bytes, neighbours: bytes) -> "Graph":
         out = cls.__new__(cls)
-        out.vectors, out.entry, out.top = np.ascontiguousarray(vectors, np.float32), entry, len(level_sizes) - 1
+        out.vectors, out.entry, out.top, out.computed = np.ascontiguousarray(vectors, np.float64), entry, len(level_sizes) - 1, 0
+        out.squares = (out.vectors * out.vectors).sum(1)
         nodes, flat, out.near, at, cell = np.frombuffer(level_nodes, np.int32), np.frombuffer(neighbours, np.int32), [], 0, 0
         for l, size in enumerate(level_sizes):
             width = LINKS * (2 if l == 0 else 1)
@@ -197,8 +204,12 @@ def _find(k: int):
                 nodes = near[i][near[i] >= 0]
                 diff = (vectors[nodes] - q[i]) ** 2
                 score = np.sqrt(np.add.accumulate(diff, 1)[:, -1])  # one component after the other
-                hits = sorted({(s, x) for s, node in zip(score.tolist(), nodes.tolist(), strict=True) for x in row["ids"][node] if x != own})[:k]
-                out += [(own, x, s) for s, x in hits]
+                best: dict[int, float] = {}
+                for s, node in sorted(zip(score.tolist(), nodes.tolist(), strict=True)):
+                    for x in row["ids"][node]:
+                        if x != own:
+                            best.setdefault(x, s)
+                out += [(own, x, s) for s, x in sorted((s, x) for x, s in best.items())[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else none
 
     return run
@@ -208,7 +219,7 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
-def index(rows: DataFrame, k: int, shard_rows: int = 8192, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, int]:
+def index(rows: DataFrame, k: int, shard_rows: int = 16384, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, int]:
     """The flat graphs of all shards, as a table in the shared folder, and the number of shards."""
     v = F.col(vec_col).cast("array<double>")
     rows = rows.where(F.col(id_col).isNotNull() & usable(v)).select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).distinct()
@@ -224,16 +235,17 @@ def index(rows: DataFrame, k: int, shard_rows: int = 8192, id_col: str = "vec_id
     return materialise(nodes.groupBy("dim", "shard").applyInPandas(_build, INDEX), "graphs"), shards
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 8192, query_block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 16384, query_block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows found for each query but itself."""
     graphs, shards = index(rows, k, shard_rows, id_col, vec_col)
     v = F.col(vec_col).cast("array<double>")
-    q = queries.where(F.col(id_col).isNotNull() & usable(v)).select(F.col(id_col).cast("long").alias("query_id"), v.alias("vec")).dropDuplicates(["query_id"])
+    q = queries.where(F.col(id_col).isNotNull() & usable(v)).groupBy(F.col(id_col).cast("long").alias("query_id")).agg(F.min(v).alias("vec"))
     q = materialise(q, "queries")
     blocks = max(1, -(-q.count() // query_block))
     q = q.select("query_id", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     g = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = ["dim", "shard", "block"]
     hits = g.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(_find(k), "query_id long, vec_id long, score double")
+    hits = hits.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return hits.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -21,8 +21,9 @@ chunks.
 
 Defined results: a null, empty or blank text has an empty set and no links, its component is
 its own id; rows that repeat an id, or have none, are told apart by their texts, so each is
-compared, and a component has the least id of its rows, null only if none has one; an empty
-table gives an empty result; other columns are ignored.
+compared, and a component has the least id of its rows, null only if none has one; very long
+texts are whole sets, in memory one at a time; an empty table gives an empty result; other
+columns are ignored, or kept by one_of_each() whatever their names.
 """
 
 from __future__ import annotations
@@ -36,12 +37,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.llm.graph import components
-from lexforge.llm.scratch import materialise
+from lexforge.llm.scratch import discard, materialise, unused
 from lexforge.llm.words import Chunk, grams, mix, texts
 
 LAST = (1 << 63) - 1
-#: Ids that may be sent to every task, eight bytes each; beyond, the join shuffles.
-SMALL_IDS = 2_000_000
 
 
 def shingle_sets(c: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +70,7 @@ def spare(n, percent: int):
 def _sketch(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in texts(batch.column(2)):
+            for c in texts(batch.column(3)):
                 doc, g = shingle_sets(c, k)
                 n = np.bincount(doc, minlength=c.n_docs)
                 edge = np.concatenate(([0], np.cumsum(n)))
@@ -85,8 +84,8 @@ def _sketch(k: int, percent: int):
                 kept = np.arange(len(g)) - edge[doc] < first[doc]
                 offsets = np.concatenate(([0], np.cumsum(first))).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(g[kept].view(np.int64)))
-                own = [batch.column(i).slice(c.first, c.n_docs) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n), *signs, prefix], names=["id", "v", "n", "s1", "s2", "prefix"])
+                own = [batch.column(i).slice(c.first, c.n_docs) for i in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n), *signs, prefix], names=["own", "id", "v", "n", "s1", "s2", "prefix"])
 
     return run
 
@@ -222,18 +221,20 @@ def _least_shared(n: Column, percent: int) -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
-    """What tells rows apart: the id and a hash of the text."""
-    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    """What tells rows apart: the id, the last for none, and a hash of the text and of having an id."""
+    own = F.col(f"`{id_col}`").cast("long")
+    return F.coalesce(own, F.lit(LAST)), F.xxhash64(F.col(f"`{text_col}`").cast("string"), own.isNull())
 
 
 def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, block_shingles: int = 1_000_000) -> DataFrame:
-    """(id, v, n, root, least) of every row: number of its component, null for an empty set, and the least id there."""
+    """(own, id, v, n, root, least) of every row: number of its component, null for an empty set, and the least id there."""
     own, version = _rows(docs, id_col, text_col)
     rows = docs.select(own.alias("id"), version.alias("v"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sets = rows.mapInArrow(_sketch(k, percent), "id long, v long, n long, s1 long, s2 long, prefix array<long>")
+    sets = docs.select(F.col(f"`{id_col}`").cast("long").alias("own"), own.alias("id"), version.alias("v"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    sets = sets.mapInArrow(_sketch(k, percent), "own long, id long, v long, n long, s1 long, s2 long, prefix array<long>")
     sets = materialise(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
     key = ["n", "s1", "s2"]
-    classes = materialise(sets.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.min("row").alias("node")), "classes")
+    classes = materialise(sets.where("n > 0").groupBy(*key).agg(F.min("own").alias("rep"), F.min("row").alias("node")), "classes")
     alone = sets.join(classes, [*key], "inner").where("row = node").select(F.col("node").alias("id"), F.col("id").alias("doc"), "v", "n", "prefix")
     alone = materialise(alone, "representatives")
     postings = alone.select("id", "n", F.explode("prefix").alias("gram"))
@@ -248,12 +249,12 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     members = coarse.unionByName(coarse.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("root", "block")
     members = members.join(alone.select("id", "doc", "v", "n"), "id")
     members = materialise(members, "members")
+    discard(alone)
+    discard(keys)
     blocks = members.groupBy("block").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("parts"))
     members = members.join(blocks, "block").select("id", "doc", "v", "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "parts")
-    total, several, count = members.agg(F.count("*"), F.max("parts"), F.count("*")).first()
-    if count <= SMALL_IDS:  # under 64 MB
-        members = F.broadcast(members)
-    full = rows.withColumnRenamed("id", "doc").join(members, ["doc", "v"]).select("id", "text", "block", "part", "parts").mapInArrow(_full_sets(k), "id long, block long, part int, parts int, grams binary")
+    total, several = members.agg(F.count("*"), F.max("parts")).first()
+    full = rows.withColumnRenamed("id", "doc").join(members.hint("merge"), ["doc", "v"]).select("id", "text", "block", "part", "parts").mapInArrow(_full_sets(k), "id long, block long, part int, parts int, grams binary")
     # small blocks share tasks; a block of several parts has a task for each pair of parts
     other = F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(-1))))
     full = full.withColumn("other", other)
@@ -266,30 +267,31 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     linked = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "node")
     least = linked.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "root")
-    found = sets.select("id", "v", *key).join(classes, key, "left").join(linked, "node", "left")
-    return found.select("id", "v", "n", F.coalesce("root", "node").alias("root"), F.coalesce("least", "rep", "id").alias("least"))
+    found = sets.select("own", "id", "v", *key).join(classes, key, "left").join(linked, "node", "left")
+    return found.select("own", "id", "v", "n", F.coalesce("root", "node").alias("root"), F.coalesce("least", "rep", "own").alias("least"))
 
 
 def similar(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    null = lambda c: F.when(F.col(c) < LAST, F.col(c))
-    return _grouped(docs, k, percent, id_col, text_col, block_shingles).select(null("id").alias("doc_id"), F.col("n").alias("n_shingles"), null("least").alias("component_id"))
+    return _grouped(docs, k, percent, id_col, text_col, block_shingles).select(F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that of least id, with all its columns; rows without a word all stay."""
+    id_, v, place = (unused(docs, c) for c in ("__id", "__v", "__place"))
     per = _grouped(docs, k, percent, id_col, text_col).where("root is not null").groupBy("root", "id", "v").agg(F.count("*").alias("c"))
     per = materialise(per, "grouped")
     first = per.groupBy("root").agg(F.min(F.struct("id", "v")).alias("first"), F.sum("c").alias("rows")).where("rows > 1")
-    odd = per.join(first, "root").select(F.col("id").alias("__id"), F.col("v").alias("__v"), (F.struct("id", "v") == F.col("first")).alias("__first"), "c")
-    odd = materialise(odd.where("not __first or c > 1").drop("c"), "odd")
+    odd = per.join(first, "root").select(F.col("id").alias(id_), F.col("v").alias(v), (F.struct("id", "v") == F.col("first")).alias("first"), "c")
+    odd = materialise(odd.where("not first or c > 1").drop("c"), "odd")
     own, version = _rows(docs, id_col, text_col)
-    marked = docs.withColumns({"__id": own, "__v": version})
-    out = marked.join(odd, ["__id", "__v"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    twice = odd.where("__first")
+    marked = docs.withColumns({id_: own, v: version})
+    columns = [f"`{c}`" for c in docs.columns]
+    out = marked.join(odd.select(id_, v), [id_, v], "left_anti").select(*columns)
+    twice = odd.where("first").select(id_, v)
     if twice.isEmpty():
         return out
     # of rows that repeat both id and text, one
-    place = F.row_number().over(Window.partitionBy("__id", "__v").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    kept = marked.join(twice, ["__id", "__v"], "left_semi").withColumn("__place", place).where("__place = 1")
-    return out.unionByName(kept.select(*[f"`{c}`" for c in docs.columns]))
+    nth = F.row_number().over(Window.partitionBy(id_, v).orderBy(F.xxhash64(*[F.col(c) for c in columns])))
+    kept = marked.join(twice, [id_, v], "left_semi").withColumn(place, nth).where(F.col(place) == 1)
+    return out.unionByName(kept.select(*columns))

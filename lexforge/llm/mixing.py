@@ -11,8 +11,10 @@ their limit in this order, so the level follows from running sums over the table
 sources, without a loop.
 
 Defined results: a null source is a source of its own, last in order; a null or empty text
-has size 0 and its rate is its source's; a source without tokens has target 0 and its
-documents rate 0; repeated rows are emitted alike; an empty table gives an empty result.
+has size 0 and its rate is its source's; a very long text counts whole; a source without tokens
+has target 0 and its documents rate 0; repeated rows are emitted alike; extra columns stay, and
+where one is named like an added column, that gets underscores behind its name; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexforge.llm.scratch import unused
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,26 +62,34 @@ def targets(sizes: DataFrame, weights: list[float], share: float = 1.5, most: fl
     )
 
 
-def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Adds a struct column ``mix`` (size, source_size, target, rate, copies) to docs.
+def column(docs: DataFrame) -> str:
+    """Name of the struct column that mix() adds: ``mix``, with underscores if docs has that."""
+    return unused(docs, "mix")
+
+
+def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None) -> DataFrame:
+    """Adds a struct column (size, source_size, target, rate, copies), named by column(), to docs.
 
     Sizes are summed over all documents with partial sums before the shuffle, so a source
-    that holds most rows costs no more than others.  The plan of the sources goes to every
-    task; beyond Spark's own broadcast limit the join is an ordinary one.
+    that holds most rows costs no more than others; ``size_col`` names them where they are
+    known.  The plan of the sources goes to every task; beyond Spark's own broadcast limit the
+    join is an ordinary one.
     """
-    sized = docs.withColumn("__size", n_words(F.col(text_col))).withColumn("__source", F.col(source_col).cast("string"))
-    plan = targets(sized.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size")), list(weights), share, most)
-    plan = plan.select(F.col("source").alias("__plan_source"), F.struct("source_size", "target", "rate").alias("__plan"))
-    both = sized.join(plan, F.col("__source").eqNullSafe(F.col("__plan_source")), "left")
-    rate = F.col("__plan.rate")
-    extra = (unit(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))) < rate - F.floor(rate)).cast("long")
+    size, source, plan_source, planned = (unused(docs, c) for c in ("__size", "__source", "__plan_source", "__plan"))
+    sized = docs.withColumns({size: n_words(F.col(f"`{text_col}`")) if size_col is None else F.col(f"`{size_col}`"), source: F.col(f"`{source_col}`").cast("string")})
+    plan = targets(sized.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size")), list(weights), share, most)
+    plan = plan.select(F.col("source").alias(plan_source), F.struct("source_size", "target", "rate").alias(planned))
+    both = sized.join(plan, F.col(source).eqNullSafe(F.col(plan_source)), "left")
+    rate = F.col(planned)["rate"]
+    extra = (unit(seed, F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))) < rate - F.floor(rate)).cast("long")
     return both.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.struct(F.col("__size").alias("size"), F.col("__plan.source_size").alias("source_size"), F.col("__plan.target").alias("target"), rate.alias("rate"), (F.floor(rate).cast("long") + extra).alias("copies")).alias("mix"),
+        F.struct(F.col(size).alias("size"), F.col(planned)["source_size"].alias("source_size"), F.col(planned)["target"].alias("target"), rate.alias("rate"), (F.floor(rate).cast("long") + extra).alias("copies")).alias(column(docs)),
     )
 
 
 def emit(docs: DataFrame, **how) -> DataFrame:
     """The mixed rows themselves: each document as often as its copies say, with the columns of docs."""
     mixed = mix(docs, **how)
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(True), F.col("mix.copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = F.explode(F.array_repeat(F.lit(True), F.col(column(docs))["copies"].cast("int")))
+    return mixed.withColumn(unused(mixed, "__copy"), copies).select(*[F.col(f"`{c}`") for c in docs.columns])

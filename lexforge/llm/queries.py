@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import bpe, hnsw, jaccard, lines, mixing, ngram_lm, quality, sharding, substring, token_counts
+from lexforge.llm.scratch import materialise
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +43,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.delete_repeats(_documents(spark, sf_dir))
-    return out.select("doc_id", "lines.n_lines", "lines.n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    docs = _documents(spark, sf_dir)
+    out, made = lines.delete_repeats(docs), F.col(lines.column(docs))
+    return out.select("doc_id", made["n_lines"].alias("n_lines"), made["n_deleted"].alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(_documents(spark, sf_dir))
-    return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+    docs = _documents(spark, sf_dir)
+    sizes = materialise(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("words")), "sizes")  # words are counted once
+    return mixing.mix(sizes, size_col="words").select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,22 +13,26 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark's setting that removes a query's shuffle files when it ends.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Keys with more than this part of all rows are hot; so there are fewer of them than this.
+HOT = 1024
 _ROOTS: dict[str, str] = {}
-_PATHS: dict[int, str] = {}
 
 
 def root(spark: SparkSession) -> str:
     """The session's own folder below ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, local mode) a temporary folder is used.
+    Only in local mode, where that setting may be missing, a temporary folder is used.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
         if base is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="lexforge-")
             spark.sparkContext.setCheckpointDir(base)
         _ROOTS[app] = f"{base.rstrip('/')}/lexforge-{uuid.uuid4().hex}"
@@ -65,11 +69,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = path
+    out._written_at = path
     return out
 
 
 def discard(table: DataFrame) -> None:
     """Deletes a table that materialise() wrote and nothing reads any more."""
-    if (path := _PATHS.pop(id(table), None)) is not None:
+    if (path := getattr(table, "_written_at", None)) is not None:
         _remove(table.sparkSession, path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it differ from all columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_one(rows: DataFrame, table: DataFrame, key: str, count: str = "c") -> DataFrame:
+    """rows joined with a table that has one row a key and tells how many rows a key has.
+
+    Keys that hold more than a HOT-th of these rows are fewer than HOT, whatever the size, and go to every
+    task; rows of the other keys are dealt by key.  So no task gets a hot key's rows.  The table is read
+    three times, so it should be a written one.
+    """
+    limit = (table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]) / HOT
+    hot, rest = table.where(F.col(count) > limit), table.where(F.col(count) <= limit)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))

@@ -1,19 +1,22 @@
 """Operator 9, sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
 The ring has 2**16 segments.  A document's segment comes from a hash of its id and text
-checksum, so rows that repeat one id spread out, and each shard's virtual nodes sit at segments hashed from their names.  A document belongs to the
-next virtual node clockwise; where that node's shard is full, it continues clockwise to the
-next node whose shard has room.  With ``slack`` 0 the bounds are the even counts themselves,
-floor and ceiling of rows / shards, so shards differ by one row at most (law ``rows``).
+checksum, so rows that repeat one id spread out, and each shard's virtual nodes sit at
+segments hashed from their names.  A document belongs to the next virtual node clockwise;
+where that node's shard is full, it continues clockwise to the next node whose shard has
+room.  With ``slack`` 0 the bounds are the even counts themselves, floor and ceiling of rows /
+shards, so shards differ by one row at most (law ``rows``); the price is that a full shard's
+overflow moves between old shards when one is added.
 
 All documents of a segment meet the same nodes, so who goes where depends on the counts of
 the segments alone: 65,536 numbers whatever the table's size.  The driver walks that table
 once round the ring and gets, for each segment, which ranks go to which shard and from which
-slot on.  Documents then take their rank within their segment and look it up.
+slot on.  Rows equal in id, size and checksum are counted first, before the shuffle, and take
+a range of ranks together, so a row repeated any number of times is one row of each task.
 
-Defined results: a null text has no bytes, size 8 and crc32 0; a null id hashes as none;
-rows of a segment are ranked by id, size and checksum, and equal rows are interchangeable;
-an empty table gives an empty result; other columns are ignored.
+Defined results: a null text has no bytes, size 8 and crc32 0; a null id hashes as none; a
+very long text counts whole; rows of a segment are ranked by id, size and checksum, and equal
+rows are interchangeable; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,17 +79,23 @@ def assign(counts: dict[int, int], shards: int, nodes: int = 64, slack: float =
 def shard(docs: DataFrame, shards: int = 24, nodes: int = 64, slack: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row of docs.
 
-    One narrow table (no texts) is written and then counted, ranked and looked up; its one
-    shuffle deals rows by segment.  The cuts are at most one for each segment and one for
-    each node, so broadcasting them has a fixed bound.
+    One narrow table (no texts) of different rows is written and then ranked and looked up.
+    The cuts are at most one for each segment and one for each node, so broadcasting them has a
+    fixed bound.
     """
-    text = F.col(text_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("__rows"))
     rows = materialise(rows.withColumn("segment", segment(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string")))), "shards")
-    counts = {r["segment"]: r["count"] for r in rows.groupBy("segment").count().collect()}  # SEGMENTS at most
+    counts = {r["segment"]: r["n"] for r in rows.groupBy("segment").agg(F.sum("__rows").alias("n")).collect()}  # SEGMENTS at most
     cuts = assign(counts, shards, nodes, slack)
     plan = docs.sparkSession.createDataFrame(pd.DataFrame(cuts, columns=["segment", "__from", "__to", "shard", "__slot"]).astype("int64"), "segment int, __from long, __to long, shard int, __slot long")
-    ranked = rows.withColumn("__rank", F.row_number().over(W.partitionBy("segment").orderBy("doc_id", "size", "text_crc32")) - 1)
-    here = (ranked.segment == plan.segment) & (ranked["__rank"] >= plan["__from"]) & (ranked["__rank"] < plan["__to"])
-    return ranked.join(F.broadcast(plan), here).select("doc_id", "size", "text_crc32", "shard", (F.col("__slot") + F.col("__rank") - F.col("__from")).cast("long").alias("slot"))
+    upto = F.sum("__rows").over(W.partitionBy("segment").orderBy("doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, 0))
+    ranked = rows.withColumn("__end", upto).withColumn("__rank", F.col("__end") - F.col("__rows"))
+    here = (ranked.segment == plan.segment) & (ranked["__end"] > plan["__from"]) & (ranked["__rank"] < plan["__to"])
+    # ranks of one row of counts, some at a time, as there may be any number
+    first, last, step = F.greatest("__rank", "__from"), F.least("__end", "__to") - 1, 1 << 16
+    dealt = ranked.join(F.broadcast(plan), here).select("doc_id", "size", "text_crc32", "shard", (F.col("__slot") - F.col("__from")).alias("__add"), last.alias("__last"), F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("__some"))
+    dealt = dealt.withColumn("__one", F.explode(F.sequence("__some", F.least(F.col("__some") + step - 1, "__last"))))
+    return dealt.select("doc_id", "size", "text_crc32", "shard", (F.col("__one") + F.col("__add")).cast("long").alias("slot"))

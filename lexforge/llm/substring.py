@@ -6,7 +6,8 @@ equal anchors at the same place (winnowing), so a window that repeats can only h
 anchor hash that repeats.
 
 1. Seed: anchors (hash, document, position), about one for every (length - k + 2) / 2 words,
-   are joined on their hash; those met once are dropped.
+   are joined on their hash; those met once are dropped.  Hashes that hold more than a 1024th of
+   all anchors are so few that they are sent to all tasks, so no task gets all places of one.
 2. Extend: around each repeated anchor the match is extended to both sides by whole windows,
    compared through 128-bit hashes.  The least document of each window hash has its first
    occurrence, and within that document the least start.  A minimum is combined before the
@@ -17,8 +18,9 @@ anchor hash that repeats.
 
 Defined results: a null or empty text has no words; a document shorter than a window loses
 nothing; ties are decided by id and start; rows that repeat an id count as one document's
-occurrences and each gets its own result row; null ids come last; an empty table gives an
-empty result; other columns stay out of the result.
+occurrences and each gets its own result row; null ids come last, together with the largest id
+there can be; very long texts are whole texts like others, in memory one at a time; an empty
+table gives an empty result; other columns stay out of the result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.scratch import discard, materialise
+from lexforge.llm.scratch import discard, join_one, materialise
 from lexforge.llm.words import Chunk, grams, mix, texts
 
 #: Words of an anchor.
@@ -149,10 +151,10 @@ def _cleaned(length: int, k: int):
                     else:
                         spans.append(np.zeros(0, np.int32))
                     texts_out.append(b" ".join(words))
-                at = batch.column(0).slice(c.first, c.n_docs)
+                at = batch.column(4).slice(c.first, c.n_docs)
                 yield pa.RecordBatch.from_arrays(
                     [at, pa.array(np.diff(c.bounds)), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts_out], pa.string()), pa.array(spans, pa.list_(pa.int32())), pa.array(texts_out, pa.binary()).cast(pa.string())],
-                    names=["id", "n_words", "n_removed", "kept_sha256", "spans", "kept"],
+                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"],
                 )
 
     return run
@@ -164,15 +166,15 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
     ``spans`` holds start and end of each maximal repeat in words, one after the other, and
     ``kept`` the words that stay, joined by one space.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    anchors = materialise(rows.mapInArrow(_anchors(length, k), "hash long, id long, pos int"), "anchors")
-    repeated = anchors.groupBy("hash").count().where("count > 1").select("hash")
-    seeds = materialise(anchors.join(repeated, "hash", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("seeds")), "seeds")
+    own = F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(LAST)).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), own.alias("own"))
+    anchors = materialise(rows.select("id", "text").mapInArrow(_anchors(length, k), "hash long, id long, pos int"), "anchors")
+    repeated = materialise(anchors.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1"), "repeated")
+    seeds = materialise(join_one(anchors, repeated, "hash").groupBy("id").agg(F.collect_set("pos").alias("seeds")), "seeds")
     discard(anchors)
+    discard(repeated)
     found = rows.join(seeds, "id").select("id", "text", "seeds").mapInArrow(_extended(length, k), "h1 long, h2 long, id long")
     first = found.groupBy("h1", "h2").agg(F.min("id").alias("id"))
     firsts = materialise(first.groupBy("id").agg(F.collect_list("h1").alias("firsts")), "firsts")
-    out = rows.join(seeds.join(firsts, "id", "left"), "id", "left").select("id", "text", "seeds", "firsts")
-    out = out.mapInArrow(_cleaned(length, k), "id long, n_words long, n_removed long, kept_sha256 string, spans array<int>, kept string")
-    return out.withColumn("id", F.when(F.col("id") < LAST, F.col("id"))).withColumnRenamed("id", "doc_id")
+    out = rows.join(seeds.join(firsts, "id", "left"), "id", "left").select("id", "text", "seeds", "firsts", "own")
+    return out.mapInArrow(_cleaned(length, k), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>, kept string")

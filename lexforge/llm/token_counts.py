@@ -2,20 +2,28 @@
 
 Totals by source, language and tokenizer version are sums, so a batch of changes needs only
 its own rows: an insert adds the new count, a delete takes the old one away, a revised count
-does both.  Each batch is summed and written to a folder of its own named by its id.  A
-batch that is committed again replaces nothing and adds nothing, and a batch that broke off
-is written afresh, since only folders with Spark's success mark count.
-
-Defined results: null sources and languages are groups of their own; a null text has no
-tokens; repeated rows in a batch count as often as they stand there; keys whose documents
-and tokens both came back to zero are no longer listed; an empty batch is a commit without
-rows; other columns are ignored.
+does both.  Each batch is summed and written to a folder of the writer's own below one named by
+the batch's id, and counts once Spark's success mark is there.  Of two writers of a batch the
+one that ends first counts and the other takes its folder back; a batch that is committed again
+adds nothing, and one that broke off has no mark.  compact() adds up the batches seen and
+carries their ids on, so they stay known.
+
+A tokenizer version is a pattern of one token, or a rank file of a byte-level BPE.
+
+Defined results: null sources and languages are groups of their own; a null text or count has
+no tokens; a very long text counts whole; repeated rows in a batch count as often as they stand
+there; an ``op`` other than insert, delete and revise ends the commit with an error and nothing
+is added; keys whose documents and tokens both came back to zero are no longer listed; an empty
+batch is a commit without rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +39,10 @@ def deltas(changes: DataFrame) -> DataFrame:
     ``op`` is insert, delete or revise; delete and revise carry the count that was added
     before.  Partial sums go before the shuffle, so a hot source is one row for each task.
     """
-    new, old = F.coalesce(F.col("n_tokens"), F.lit(0)), F.coalesce(F.col("old_n_tokens"), F.lit(0))
-    sign = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).when(F.col("op") == "revise", 0)
-    tokens = F.when(F.col("op") == "insert", new).when(F.col("op") == "delete", -old).when(F.col("op") == "revise", new - old)
+    new, old, op = F.coalesce(F.col("n_tokens"), F.lit(0)), F.coalesce(F.col("old_n_tokens"), F.lit(0)), F.col("op")
+    unknown = F.raise_error(F.concat(F.lit("unknown op: "), F.coalesce(op.cast("string"), F.lit("null")))).cast("long")
+    sign = F.when(op == "insert", 1).when(op == "delete", -1).when(op == "revise", 0).otherwise(unknown)
+    tokens = F.when(op == "insert", new).when(op == "delete", -old).when(op == "revise", new - old)
     return changes.groupBy(*KEYS).agg(F.sum(sign).cast("long").alias("n_docs"), F.sum(tokens).cast("long").alias("n_tokens"))
 
 
@@ -42,34 +51,61 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _exists(self, path: str) -> bool:
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    def _at(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _folder(self, batch: str) -> str:
+        if not batch or any(c in batch for c in "/\\:*?[]{}"):
+            raise ValueError(f"not a batch id: {batch!r}")
+        return f"{self.path}/batch={batch}"
+
+    def _done(self, pattern: str) -> list[str]:
+        """Folders with a success mark, the first to end first."""
+        found = self._fs.globStatus(self._at(f"{pattern}/_SUCCESS")) or []
+        marks = sorted((m.getModificationTime(), m.getPath().getParent().toString()) for m in found)
+        return [path for _, path in marks]
+
+    def _counting(self) -> dict[str, str]:
+        """For each batch, the folder that counts."""
+        out: dict[str, str] = {}
+        for path in self._done(f"{self.path}/batch=*/*"):
+            out.setdefault(path.split("/")[-2].removeprefix("batch="), path)
+        return out
 
     def committed(self, batch: str) -> bool:
-        return self._exists(f"{self.path}/batch={batch}/_SUCCESS")
+        return bool(self._done(f"{self._folder(batch)}/*"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds the batch unless it is there; says whether it was added."""
         if self.committed(batch):
             return False
-        deltas(changes).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        return True
-
-    def totals(self) -> DataFrame:
-        fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        found = fs.Path(f"{self.path}/batch=*/_SUCCESS")
-        marks = found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found) or []
-        paths = [m.getPath().getParent().toString() for m in marks]
-        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
+        own = f"{self._folder(batch)}/{uuid.uuid4().hex}"
+        deltas(changes).write.parquet(own)
+        if self._done(f"{self._folder(batch)}/*")[0].endswith(own.rsplit("/", 1)[-1]):
+            return True
+        self._fs.delete(self._at(own), True)  # another writer was first
+        return False
+
+    def batches(self) -> list[str]:
+        return sorted(self._counting())
+
+    def _totals(self, folders: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(DELTA).parquet(*folders) if folders else self.spark.createDataFrame([], DELTA)
         out = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return out.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
+    def totals(self) -> DataFrame:
+        return self._totals(self._done(f"{self.path}/compacted/*")[:1] + sorted(self._counting().values()))
+
     def compact(self, into: str) -> "Rollup":
-        """The same totals as one batch at another path."""
-        self.totals().write.mode("overwrite").parquet(f"{into.rstrip('/')}/batch=compacted")
-        return Rollup(self.spark, into)
+        """The same totals in one folder at another path, with all batch ids, so that none can be added twice."""
+        new, known = Rollup(self.spark, into), self._counting()
+        for batch in known:  # a batch that counts and has no rows of its own
+            self._fs.create(self._at(f"{new._folder(batch)}/compacted/_SUCCESS"), True).close()
+        self._totals(self._done(f"{self.path}/compacted/*")[:1] + sorted(known.values())).write.parquet(f"{new.path}/compacted/{uuid.uuid4().hex}")
+        return new
 
 
 #: Tokenizer versions that the built-in counter knows, as patterns of one token.
@@ -80,6 +116,27 @@ def count(text: Column, tokenizer: str) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(TOKENIZERS[tokenizer])), F.lit(0)).cast("long")
 
 
+def bpe_counts(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> Column:
+    """Number of tokens of a byte-level BPE given by its rank file, which executors must have at that place."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        for texts in batches:
+            yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
+
+    return count(F.col(f"`{text_col}`").cast("string"))
+
+
+def bpe_inserts(docs: DataFrame, tokenizer: str, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """inserts() for a tokenizer given by its rank file."""
+    return docs.select(F.lit("insert").alias("op"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), bpe_counts(docs, path, pattern, text_col).alias("n_tokens"), F.lit(0).cast("long").alias("old_n_tokens"))
+
+
 def inserts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     n = count(F.col(text_col), tokenizer)
     return docs.select(F.lit("insert").alias("op"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), n.alias("n_tokens"), F.lit(0).cast("long").alias("old_n_tokens"))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from lexforge.llm import bpe, eliasfano, hnsw, jaccard, lines, mixing, ngram_lm, quality, sharding, substring, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DDL = "doc_id long, text string, lang string, source string, n_chars long, h1 long, `row` string, vote_length int, pos int, block int"
+DDL = "doc_id long, text string, lang string, source string, n_chars long, h1 long, `row` string, vote_length int, pos int, block int, mix string, lines string, Lines_ int, __id long, __size long, __gone long, __copy long, __v int, __plan string"
+MORE = (1, "r", 2, 3, 4, "m", "l", 5, 6, 7, 8, 9, 10, "p")
 
 
 def corpus():
@@ -31,7 +32,7 @@ def corpus():
     texts += [" ".join(base)] * 6 + [f"start{i} {passage} end{i}" for i in range(10)]
     texts += ["\n".join(["same line a", "same line b", "same line c", f"own line {i}"]) for i in range(5)]
     texts += [" ".join(rng.choice(words) for _ in range(3000)), "x" * 3000, "a b c " * 100, "### *** " * 60]
-    return [(i, t, "en", None if i % 5 == 0 else f"s{i % 3}", None, 1, "r", 2, 3, 4) for i, t in enumerate(texts)]
+    return [(i, t, "en", None if i % 5 == 0 else f"s{i % 3}", None, *MORE) for i, t in enumerate(texts)]
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +54,39 @@ def test_empty_tables(none):
     assert jaccard.similar(none).count() == 0 and substring.remove_repeats(none).count() == 0
     assert lines.delete_repeats(none).count() == 0 and mixing.emit(none).count() == 0
     assert sharding.shard(none).count() == 0 and ngram_lm.score(none).count() == 0
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    assert bpe.encode(none, path, public_tokenizers.PATTERN).count() == 0 and token_counts.history(none).count() == 0
+    vectors = none.selectExpr("doc_id AS vec_id", "array(1.0f) AS embedding")
+    assert hnsw.nearest(vectors, vectors).count() == 0 and jaccard.one_of_each(none).count() == 0
+
+
+def test_words_that_cancel_out(spark):
+    """Thue-Morse words, which sums of powers modulo 2**64 do not tell apart."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    other = [f"x{i}" for i in range(25)]
+    df = spark.createDataFrame([(1, a), (2, b), (3, " ".join([a, *other])), (4, " ".join([b, *other[:-1]]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+    assert {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 24}
+    words_of = " ".join(a if c == "a" else b for c in a[:64])
+    assert quality.quality(spark.createDataFrame([(1, f"{a}\n{b}\n{a}")], "doc_id long, text string")).first()["n_dup_lines"] == 1
+    assert quality.quality(spark.createDataFrame([(1, words_of)], "doc_id long, text string")).first()["n_repeat_words"] == 64
+
+
+def test_very_long_texts(spark):
+    """One text of 300,000 words and one word of a million bytes, beside short ones."""
+    long = " ".join(f"w{i * 7919 % 300_007}" for i in range(300_000))
+    df = spark.createDataFrame([(1, long, "a", "en"), (2, long + " end", "a", "en"), (3, "y" * 1_000_000, "a", "en"), (4, "short", "a", "en")], "doc_id long, text string, source string, lang string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar(df).collect()} == {1: (299_997, 1), 2: (299_998, 1), 3: (1, 3), 4: (1, 4)}
+    assert {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(df).collect()} == {1: 0, 2: 300_000, 3: 0, 4: 0}
+    lined = df.withColumn("text", F.translate("text", " ", "\n"))
+    assert {r["doc_id"]: r["lines"]["n_deleted"] for r in lines.delete_repeats(lined).collect()} == {1: 0, 2: 300_000, 3: 0, 4: 0}
+    assert {r["doc_id"]: r["n_words"] for r in quality.quality(df).collect()} == {1: 300_000, 2: 300_001, 3: 1, 4: 1}
+    assert {r["doc_id"]: r["n_tokens"] for r in ngram_lm.score(df).collect()} == {1: 300_001, 2: 300_002, 3: 2, 4: 2}
+    assert mixing.mix(df).agg(F.sum("mix.size")).first()[0] == 600_003 and sharding.shard(df).agg(F.sum("size")).first()[0] == 2 * len(long) + 4 + 1_000_005 + 32
+    assert token_counts.deltas(token_counts.inserts(df, "words-1")).first()["n_tokens"] == 600_003
 
 
 def test_quality(docs):
@@ -104,6 +138,58 @@ def test_hnsw(spark):
     assert got[got.query_id == 7].vec_id.tolist() == list(range(2000, 2010))
 
 
+def neighbours(rows, spark, queries="true", **how):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    return [tuple(r) for r in hnsw.nearest(df, df.where(queries), **how).orderBy("query_id", "rank").select("query_id", "rank", "vec_id", "score").collect()]
+
+
+def test_hnsw_of_large_and_repeated_vectors(spark):
+    # components whose squares float would not hold; fewer candidates than k
+    big = [(i, [float(np.float32(1e20)) * (i + 1), 1.0]) for i in range(4)]
+    got = neighbours(big, spark)
+    assert [g[:3] for g in got if g[0] == 0] == [(0, 1, 1), (0, 2, 2), (0, 3, 3)] and len(got) == 12
+    # one id with two vectors is one candidate at its least distance, and one query, with its least vector
+    got = neighbours([(1, [1.0, 0.0]), (1, [9.0, 0.0]), (2, [2.0, 0.0]), (3, [8.0, 0.0]), (2, [2.0, 0.0])], spark)
+    assert got == [(1, 1, 2, 1.0), (1, 2, 3, 7.0), (2, 1, 1, 1.0), (2, 2, 3, 6.0), (3, 1, 1, 1.0), (3, 2, 2, 6.0)]
+
+
+def test_token_counts_of_batches(spark, tmp_path):
+    rows = [("insert", "a", "en", "t", 5, None), ("insert", None, None, "t", None, None), ("insert", "a", "en", "t", 5, None), ("revise", "a", "en", "t", 9, 5)]
+    ddl = "op string, source string, lang string, tokenizer string, n_tokens long, old_n_tokens long"
+    batch = spark.createDataFrame(rows, ddl)
+    rollup = token_counts.Rollup(spark, str(tmp_path / "r"))
+    totals = lambda r: sorted(map(tuple, r.totals().collect()), key=str)
+    want = [("a", "en", "t", 2, 14), (None, None, "t", 1, 0)]
+    assert rollup.commit("1", batch) and totals(rollup) == sorted(want, key=str)
+    with pytest.raises(Exception, match="unknown op"):
+        rollup.commit("2", spark.createDataFrame([("INSERT", "a", "en", "t", 5, None)], ddl))
+    assert rollup.batches() == ["1"] and rollup.commit("2", batch.limit(0))
+    # a batch sent again after its ids were carried on
+    small = rollup.compact(str(tmp_path / "s"))
+    assert not small.commit("1", batch) and small.batches() == ["1", "2"] and totals(small) == sorted(want, key=str)
+    smaller = small.compact(str(tmp_path / "t"))
+    assert not smaller.commit("2", batch) and smaller.commit("3", batch) and dict((t[0], t[3:]) for t in totals(smaller)) == {"a": (4, 28), None: (2, 0)}
+    # two writers of one batch: both saw that it was not there
+    a, b = (token_counts.Rollup(spark, str(tmp_path / "u")) for _ in range(2))
+    b.committed = lambda batch: False
+    assert a.commit("1", batch) and not b.commit("1", batch) and totals(a) == totals(b) == sorted(want, key=str)
+    # a batch that broke off leaves a folder without a mark
+    token_counts.deltas(batch).write.parquet(str(tmp_path / "v" / "batch=1" / "x"))
+    (tmp_path / "v" / "batch=1" / "x" / "_SUCCESS").unlink()
+    c = token_counts.Rollup(spark, str(tmp_path / "v"))
+    assert not c.committed("1") and c.totals().count() == 0 and c.commit("1", batch) and totals(c) == sorted(want, key=str)
+
+
+def test_token_counts_of_a_rank_file(docs):
+    import tiktoken
+
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
+        path = public_tokenizers.path(name)
+        enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+        got = token_counts.deltas(token_counts.bpe_inserts(docs, name, path, public_tokenizers.PATTERN)).agg(F.sum("n_docs"), F.sum("n_tokens")).first()
+        assert tuple(got) == (len(corpus()), sum(len(enc.encode_ordinary(t or "")) for _, t, *_ in corpus()))
+
+
 def test_token_counts(docs, spark, tmp_path):
     rollup = token_counts.Rollup(spark, str(tmp_path / "r"))
     batch = token_counts.inserts(docs, "words-1")
@@ -174,7 +260,7 @@ def test_lines(docs):
             seen.add(x)
         want[i] = None if t is None else "\n".join(x for j, x in enumerate(every) if j not in gone)
     out = lines.delete_repeats(docs)
-    assert out.columns == [*docs.columns, "lines"] and {r["doc_id"]: r["text"] for r in out.collect()} == want
+    assert out.columns == [*docs.columns, lines.column(docs)] and {r["doc_id"]: r["text"] for r in out.collect()} == want
 
 
 def brute_lines(rows, least):
@@ -205,7 +291,9 @@ def test_long_lines_between_own_lines(docs, spark):
 
 
 def test_mixing(docs):
-    rows = mixing.mix(docs).select("doc_id", "source", "mix.*").collect()
+    rows = mixing.mix(docs).select("doc_id", "source", mixing.column(docs) + ".*").collect()
+    assert mixing.mix(docs).columns[:-1] == mixing.emit(docs).columns == docs.columns
+    assert mixing.emit(docs).select("mix", "__size").distinct().collect() == [("m", 7)]
     sizes = Counter()
     for r in rows:
         sizes[r["source"]] += r["size"]
@@ -233,12 +321,45 @@ def test_sharding(docs):
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
-def test_bounded_loads_move_little():
+def brute_ring(rows, shards, nodes=64):
+    """Walks the ring row by row: each goes to the next node clockwise whose shard has room."""
+    points = sorted((zlib.crc32(f"shard {s} node {v}".encode()) % sharding.SEGMENTS, s) for s in range(shards) for v in range(nodes))
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    used, out = [0] * shards, Counter()
+    for segment, *row in sorted(rows):
+        at = next((i for i, p in enumerate(points) if p[0] >= segment), 0)
+        while not room[points[at % len(points)][1]] - used[points[at % len(points)][1]]:
+            at += 1
+        s = points[at % len(points)][1]
+        out[(*row, s, used[s])] += 1
+        used[s] += 1
+    return out
+
+
+def test_sharding_is_the_ring_walked_row_by_row(docs, spark):
+    odd = [(None, "a"), (None, "a"), (None, None), (5, "b"), *[(5, "b")] * 40, (5, None), (5, "")]
+    df = docs.select("doc_id", "text").where("doc_id is not null").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    narrow = df.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("crc"))
+    key = sharding.segment(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("crc").cast("string")))
+    rows = [(r["s"], -1 if r["doc_id"] is None else r["doc_id"], r["size"], r["crc"]) for r in narrow.withColumn("s", key).collect()]
+    got = Counter((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard(df, 7).collect())
+    assert got == brute_ring(rows, 7)
+
+
+def moved(slack):
     rng = random.Random(1)
     counts = {s: rng.randrange(3) for s in range(0, sharding.SEGMENTS, 16)}
-    owner = lambda n: {(s, r): shard for s, a, b, shard, _ in sharding.assign(counts, n, slack=0.25) for r in range(a, b)}
+    owner = lambda n: {(s, r): shard for s, a, b, shard, _ in sharding.assign(counts, n, slack=slack) for r in range(a, b)}
     a, b = owner(24), owner(25)
-    assert sum(a[k] != b[k] for k in a) < 0.3 * len(a) and max(Counter(a.values()).values()) <= 1.25 * len(a) / 24 + 1
+    return sum(a[k] != b[k] for k in a) / len(a), max(Counter(a.values()).values()) * 24 / len(a)
+
+
+def test_bounded_loads_move_little():
+    """A 25th shard needs 4 % of the rows; the registered query has slack 0 and moves more."""
+    share, fullest = moved(0.25)
+    assert share < 0.1 and fullest <= 1.26
+    share, fullest = moved(0.0)
+    assert share < 0.2 and fullest <= 1.01
 
 
 def test_eliasfano(tmp_path):
@@ -320,14 +441,17 @@ def test_null_ids_and_repeated_rows(spark):
 def test_jaccard_of_null_and_repeated_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(1, a, "p"), (1, b, "p"), (1, a, "p"), (1, a, "q"), (5, b + " x", "p"), (None, c, "p"), (None, a + " x", "p"), (None, c + " x", "p"), (None, c, "q"), (7, None, "p"), (None, "", "p"), (None, "", "p")]
-    for parts in (1, 3):
-        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+    for turn in (rows, rows[::-1]):
+        df = spark.createDataFrame(turn, "doc_id long, text string, source string").repartition(2)
         got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.similar(df).collect())
         assert got == {(1, 1): 4, (5, 1): 1, (None, 1): 1, (None, None): 5, (7, 7): 1}
         kept = jaccard.one_of_each(df)
         assert kept.columns == df.columns
         left = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in kept.collect())
         assert left == {(1, "a"): 1, (1, "b"): 1, (None, "c"): 1, (7, ""): 1, (None, ""): 2}
+    clash = df.selectExpr("*", "1 AS __id", "2 AS __v", "3 AS __place", "5 AS `first`", "6 AS c")
+    out = jaccard.one_of_each(clash)
+    assert out.columns == clash.columns and Counter((r["doc_id"], (r["text"] or "")[:1]) for r in out.collect()) == left
 
 
 def test_pipeline(spark):
