@@ -1,32 +1,14 @@
-"""Citations in answers: markers, quotes and the sources that carry them."""
+"""Claims and quotes, and the sources nearest to them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import tokens
 
 
-def normalise_markers(reply: Column) -> Column:
-    """[n1], [#1] and [source 1] become [1], and a link behind a marker goes."""
-    plain = F.regexp_replace(reply, r"\[(?:n|#|source\s+)(\d+)\]", "[$1]")
-    return F.regexp_replace(plain, r"\[(\d+)\]\([^)]*\)", "[$1]")
-
-
-def cited_numbers(reply: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(reply, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda n: n.cast("int")))
-
-
-def drop_out_of_range(reply: Column, sources: Column) -> Column:
-    """Removes markers beyond the sources, unless none is valid."""
-    bad = F.filter(cited_numbers(reply), lambda n: (n < 1) | (n > sources))
-    good = F.filter(cited_numbers(reply), lambda n: (n >= 1) & (n <= sources))
-    cleaned = F.aggregate(bad, reply, lambda text, n: F.replace(text, F.concat(F.lit("["), n.cast("string"), F.lit("]")), F.lit("")))
-    return F.when(F.size(good) > 0, cleaned).otherwise(reply)
-
-
 def best_source(claims: DataFrame, chunks: DataFrame) -> DataFrame:
     """(claim_id, chunk_index, overlap): per claim the chunk with most of its distinct tokens, the earliest on a tie.
 
@@ -47,7 +29,3 @@ def nearest_quote(markers: DataFrame, quotes: DataFrame, within: int = 400) -> D
     both = markers.join(quotes, "reply_id").withColumn("gap", gap).where(F.col("gap") <= within)
     order = W.partitionBy("marker_id").orderBy("gap", "quote_id")
     return both.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("marker_id", "quote_id", "gap")
-
-
-def overlapping(items: DataFrame, start: int, end: int) -> DataFrame:
-    return items.where((F.col("end") > start) & (F.col("start") < end))

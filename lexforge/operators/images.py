@@ -52,3 +52,17 @@ def blank(pixels: DataFrame, above: int = 250, share: float = 0.99) -> DataFrame
     """(page, blank): are more than that share of its pixels lighter?"""
     light = F.count(F.when(F.col("level") > above, 1)) / F.count("level")
     return pixels.where("level IS NOT NULL").groupBy("page").agg((light > share).alias("blank"))
+
+
+def routed(docs: DataFrame, pages: DataFrame, most: float = 0.3) -> DataFrame:
+    """(doc) and pages (doc, kind) to (doc, converter, scanned): few pages other than digital, or OCR; also without pages."""
+    share = F.avg((F.col("kind") != "digital").cast("double"))
+    per = pages.groupBy("doc").agg(share.alias("share"), F.count(F.when(F.col("kind") == "scanned", 1)).alias("scanned"))
+    out = docs.join(per, "doc", "left")
+    return out.select("doc", F.when(F.col("share") < most, "digital").otherwise("ocr").alias("converter"), F.coalesce("scanned", F.lit(0).cast("long")).alias("scanned"))
+
+
+def page_reports(pages: DataFrame) -> DataFrame:
+    """(doc, page, kind, density, blank) to a row a document: number of pages and its pages in order."""
+    page = F.struct("page", "kind", "density", "blank")
+    return pages.groupBy("doc").agg(F.count("*").alias("n_pages"), F.array_sort(F.collect_list(page)).alias("pages"))

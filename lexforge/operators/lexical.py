@@ -101,3 +101,22 @@ def cluster_keywords(postings: DataFrame, n_docs: DataFrame, clusters: DataFrame
     sums = sums.select("cluster", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("score"))
     top = sums.withColumn("rn", F.row_number().over(W.partitionBy("cluster").orderBy(F.col("score").desc(), "term"))).where(F.col("rn") <= n)
     return top.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "term"))), lambda x: x["term"]).alias("keywords"))
+
+
+def similarities(questions: DataFrame, chunks: DataFrame, block: int = 256) -> DataFrame:
+    """(item_id, doc_id, sim) of every question (item_id, v) and chunk (doc_id, v); questions go in blocks, chunks once to each.
+
+    Vectors of another length than the question's are an error.
+    """
+    blocks = max(1, -(-questions.count() // block))
+    packed = questions.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("item_id", "v")).alias("qs"))
+    rows = chunks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "block")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    same = lambda q: F.when(F.size(q["v"]) == F.size("v"), dot(q["v"], F.col("v"))).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("double"))
+    return rows.select("doc_id", F.inline(F.transform("qs", lambda q: F.struct(q["item_id"].alias("item_id"), same(q).alias("sim")))))
+
+
+def hybrid(sims: DataFrame, boosts: DataFrame, lexical: DataFrame) -> DataFrame:
+    """(item_id, doc_id, sim, score): similarity times the keyword boost, 1 without one, and the lexical part, 0 without one."""
+    rows = sims.join(boosts.select("item_id", "doc_id", "boost"), ["item_id", "doc_id"], "left").join(lexical.select("item_id", "doc_id", F.col("score").alias("lex")), ["item_id", "doc_id"], "left")
+    return rows.select("item_id", "doc_id", "sim", (F.col("sim") * F.coalesce("boost", F.lit(1.0)) + F.coalesce("lex", F.lit(0.0))).alias("score"))

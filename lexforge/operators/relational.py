@@ -93,3 +93,42 @@ def probe_cache(keys: DataFrame, cache: DataFrame, key: str, value: str) -> Data
     there = cache.select(key, value, F.lit(True).alias("__there"))
     state = F.when(F.col("__there").isNull(), "absent").when(F.col(value).isNull(), "miss").otherwise("hit")
     return keys.join(there, key, "left").withColumn("state", state).drop("__there")
+
+
+def category_label(keywords: Column, index: Column) -> Column:
+    """The first three keywords, or "cluster" and the category's number where it has none."""
+    return F.when(F.size(F.coalesce(keywords, F.array())) > 0, F.array_join(F.slice(keywords, 1, 3), ", ")).otherwise(F.concat(F.lit("cluster "), index.cast("string")))
+
+
+def labelled_members(members: DataFrame, labels: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks (doc_id, ...) with the label of their document's category, null for documents of none."""
+    return chunks.join(members.join(labels, "cluster").select("doc_id", "label"), "doc_id", "left")
+
+
+def known_members(members: DataFrame, docs: DataFrame, keywords: DataFrame, every: Column) -> DataFrame:
+    """(cluster, doc_ids, keywords): members (cluster, doc_id) that are documents; clusters without any go, and one
+    without keywords of its own has those given for all."""
+    kept = members.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("cluster").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+    own = F.col("keywords")
+    return kept.join(keywords, "cluster", "left").select("cluster", "doc_ids", F.when(F.size(F.coalesce(own, F.array())) > 0, own).otherwise(every).alias("keywords"))
+
+
+def ordered_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks in order of document and place; a collection without any is an error."""
+    if chunks.isEmpty():
+        raise LookupError("there are no chunks: run the pipeline first")
+    return chunks.orderBy("doc_id", "chunk_index")
+
+
+def with_status(docs: DataFrame, status: str | None = None) -> DataFrame:
+    return docs if status is None else docs.where(F.col("status") == status)
+
+
+def first_of(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """The first row of each key in the order given."""
+    return rows.withColumn("__nth", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("__nth = 1").drop("__nth")
+
+
+def top_with_chunks(ranked: DataFrame, chunks: DataFrame, n: int = 2) -> DataFrame:
+    """The best n documents (doc_id, score) that have chunks."""
+    return ranked.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.col("score").desc(), "doc_id").limit(n)

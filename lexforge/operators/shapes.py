@@ -7,6 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: The distance and number of points that a shell puts round a member.
+PAD, SEGMENTS = 0.16, 12
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -47,3 +51,36 @@ def hulls(points: DataFrame) -> DataFrame:
 
     rows = points.selectExpr("cast(cluster AS bigint) AS cluster", "cast(x AS double) AS x", "cast(y AS double) AS y").where("abs(x) < double('infinity') AND abs(y) < double('infinity') AND cluster IS NOT NULL")
     return rows.mapInPandas(partial, "cluster long, x double, y double").groupBy("cluster").applyInPandas(_corners, "cluster long, corner int, x double, y double")
+
+
+def shells(points: DataFrame, pad: float = PAD) -> DataFrame:
+    """(cluster, x, y) to the points of a circle round each, so that a hull of them is an outline at any number of members."""
+    turn = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))
+    angle = F.col("k") / SEGMENTS * 2 * np.pi
+    return points.withColumn("k", turn).select("cluster", (F.col("x") + F.cos(angle) * pad).alias("x"), (F.col("y") + F.sin(angle) * pad).alias("y"))
+
+
+def centroids(points: DataFrame) -> DataFrame:
+    return points.groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Joins the nearest outsider to the tree until all are in; each outsider keeps its nearest member, the earliest if tied."""
+    pdf = pdf.sort_values("id")
+    ids, at = pdf["id"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float)
+    near, gap, joined = np.zeros(len(ids), int), np.sqrt(((at - at[0]) ** 2).sum(1)), np.zeros(len(ids), int)
+    out, rest, links = 1, np.arange(1, len(ids)), []
+    while len(rest):
+        i = rest[np.lexsort((rest, joined[near[rest]], gap[rest]))[0]]
+        links.append((pdf["cluster"].iloc[0], ids[near[i]], ids[i], gap[i]))
+        joined[i], out = out, out + 1
+        rest = rest[rest != i]
+        d = np.sqrt(((at[rest] - at[i]) ** 2).sum(1))
+        less = rest[d < gap[rest]]
+        near[less], gap[less] = i, d[d < gap[rest]]
+    return pd.DataFrame(links, columns=["cluster", "a", "b", "distance"])
+
+
+def spanning_trees(points: DataFrame) -> DataFrame:
+    """(cluster, id, x, y, z) to the links (cluster, a, b, distance) of a shortest tree over each cluster, which must fit a task."""
+    return points.select("cluster", "id", "x", "y", "z").groupBy("cluster").applyInPandas(_tree, "cluster long, a long, b long, distance double")

@@ -136,7 +136,7 @@ def _pct(part: str) -> str:
 
 @query(f"{_NOVEL} SELECT doc_id, round({_pct('')}, 9) AS percentile FROM nv")
 def percentile_tie_avg(spark, sf_dir):
-    return _novelty(spark, sf_dir).select("doc_id", F.round(rank.percentile(F.col("novelty")), 9).alias("percentile"))
+    return rank.with_percentile(_novelty(spark, sf_dir), "novelty").select("doc_id", F.round("percentile", 9).alias("percentile"))
 
 
 @query(f"{_NOVEL} SELECT doc_id, source, round({_pct('PARTITION BY source')}, 9) AS percentile FROM nv")
@@ -155,10 +155,15 @@ def cluster_keywords(spark, sf_dir):
 
 @query(f"""WITH {_TF}, c AS (SELECT source AS cluster, term, round(sum(tf) * max(idf), 6) AS score FROM tf JOIN documents USING (doc_id) JOIN df USING (term) GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS rn FROM c)
-    SELECT cluster, coalesce(nullif(string_agg(term, ', ' ORDER BY rn), ''), 'cluster') AS label FROM r WHERE rn <= 3 GROUP BY cluster""")
+    , s AS (SELECT DISTINCT source FROM documents UNION ALL SELECT 'zz'), k AS (SELECT cluster, string_agg(term, ', ' ORDER BY rn) AS words FROM r WHERE rn <= 3 GROUP BY cluster)
+    SELECT source AS cluster, coalesce(words, 'cluster ' || (row_number() OVER (ORDER BY source) - 1)) AS label FROM s LEFT JOIN k ON k.cluster IS NOT DISTINCT FROM source""")
 def category_labels(spark, sf_dir):
-    words = F.slice("keywords", 1, 3)
-    return cluster_keywords(spark, sf_dir).select("cluster", F.when(F.size("keywords") == 0, F.lit("cluster")).otherwise(F.array_join(words, ", ")).alias("label"))
+    """Sources and one without a document stand in for categories."""
+    names = table(spark, sf_dir, "documents").select(F.col("source").alias("cluster")).distinct().union(spark.sql("SELECT 'zz'"))
+    index = names.withColumn("index", F.row_number().over(W.orderBy(F.col("cluster").asc_nulls_last())) - 1)  # a row a category
+    words = cluster_keywords(spark, sf_dir).withColumnRenamed("cluster", "of")
+    found = index.join(words, F.col("cluster").eqNullSafe(F.col("of")), "left")
+    return found.select("cluster", relational.category_label(F.col("keywords"), F.col("index")).alias("label"))
 
 
 @query(f"""WITH {_TF}, c AS (SELECT source AS cluster, term, round(sum(tf) * max(idf), 6) AS score FROM tf JOIN documents USING (doc_id) JOIN df USING (term) GROUP BY ALL),
@@ -237,20 +242,23 @@ def quota_topk(spark, sf_dir):
 
 def _unrolled_pagerank(rounds: int) -> str:
     step = ", ".join(
-        f"""r{k} AS (SELECT n.id, 0.15 / m.m + 0.85 * coalesce(x.inc, 0) + 0.85 * (1 - y.kept) / m.m AS score FROM nodes n CROSS JOIN m
+        f"""r{k} AS MATERIALIZED (SELECT n.id, 0.15 / m.m + 0.85 * coalesce(x.inc, 0) + 0.85 * (1 - y.kept) / m.m AS score FROM nodes n CROSS JOIN m
             LEFT JOIN (SELECT dst, sum(score / deg) AS inc FROM r{k - 1} JOIN o ON src = id GROUP BY dst) x ON x.dst = n.id
             CROSS JOIN (SELECT sum(score) AS kept FROM r{k - 1} WHERE id IN (SELECT src FROM o)) y)"""
         for k in range(1, rounds + 1)
     )
-    return f"WITH {_KNN}, nodes AS (SELECT vec_id AS id FROM embeddings), m AS (SELECT count(*) AS m FROM nodes), o AS (SELECT i AS src, j AS dst, count(*) OVER (PARTITION BY i) AS deg FROM nn WHERE rank <= 3), r0 AS (SELECT id, 1.0 / m AS score FROM nodes, m), {step} SELECT id, round(score, 9) AS score FROM r{rounds}"
+    every = " UNION ALL ".join(f"SELECT {k} AS k, a.id, a.score, abs(a.score - b.score) AS moved FROM r{k} a JOIN r{k - 1} b USING (id)" for k in range(1, rounds + 1))
+    return f"""WITH {_KNN}, nodes AS (SELECT vec_id AS id FROM embeddings), m AS (SELECT count(*) AS m FROM nodes), o AS MATERIALIZED (SELECT i AS src, j AS dst, count(*) OVER (PARTITION BY i) AS deg FROM nn WHERE rank <= 3), r0 AS (SELECT id, 1.0 / m AS score FROM nodes, m), {step},
+        z AS MATERIALIZED ({every}), last AS (SELECT min(k) AS k FROM (SELECT k, sum(moved) AS moved FROM z GROUP BY k), m WHERE moved < m * 1e-6)
+        SELECT id, round(score, 9) AS score FROM z, last WHERE z.k = last.k"""
 
 
-@query(_unrolled_pagerank(6))
+@query(_unrolled_pagerank(40))
 def pagerank_knn_graph(spark, sf_dir):
-    """Six rounds over each vector's three nearest others; the operator itself stops by tolerance."""
+    """Over each vector's three nearest others, until the change falls under the tolerance."""
     vecs = table(spark, sf_dir, "embeddings")
     edges = vectors.nearest(vecs).where("rank <= 3").select(F.col("i").alias("src"), F.col("j").alias("dst"))
-    return pagerank(vecs.select(F.col("vec_id").alias("id")), edges, rounds=6, tolerance=0.0).select("id", F.round("score", 9).alias("score"))
+    return pagerank(vecs.select(F.col("vec_id").alias("id")), edges).select("id", F.round("score", 9).alias("score"))
 
 
 @query("""SELECT doc_id, substr(sha256(text), 1, 16) AS content_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS duplicate FROM documents""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
-from lexforge.operators import citations, grounding, images, knowledge, metadata, rank, reading, shapes
+from lexforge.operators import citations, grounding, images, knowledge, metadata, rank, reading, replies, shapes
 from lexforge.operators.chunking import chunk
 from lexforge.plans.corpus import QUERIES, query, table
 
@@ -22,12 +22,11 @@ _PAGES = "(VALUES (1, true, 10, 480000), (1, true, 900, 480000), (1, false, 900,
 
 
 @query(f"""WITH p AS (SELECT doc, CASE WHEN image AND round(chars / area, 6) < 0.0008 THEN 'scanned' WHEN image THEN 'mixed' WHEN round(chars / area, 6) >= 0.0008 THEN 'digital' ELSE 'scanned' END AS kind FROM {_PAGES})
-    SELECT doc, CASE WHEN avg(CASE WHEN kind <> 'digital' THEN 1.0 ELSE 0.0 END) < 0.3 THEN 'digital' ELSE 'ocr' END AS converter, count(*) FILTER (kind = 'scanned') AS scanned FROM p GROUP BY doc""")
+    SELECT d.doc, CASE WHEN avg(CASE WHEN kind <> 'digital' THEN 1.0 WHEN kind = 'digital' THEN 0.0 END) < 0.3 THEN 'digital' ELSE 'ocr' END AS converter, count(*) FILTER (kind = 'scanned') AS scanned FROM (VALUES (1), (2), (3), (4)) AS d(doc) LEFT JOIN p ON p.doc = d.doc GROUP BY d.doc""")
 def converter_routing(spark, sf_dir):
     kind = T.page_type(F.col("image"), F.col("chars"), F.col("area"))
-    rows = spark.sql(f"SELECT * FROM {_PAGES}").withColumn("kind", kind)
-    share = F.avg((F.col("kind") != "digital").cast("double"))
-    return rows.groupBy("doc").agg(F.when(share < 0.3, "digital").otherwise("ocr").alias("converter"), F.count(F.when(F.col("kind") == "scanned", 1)).alias("scanned"))
+    docs = spark.sql("SELECT * FROM (VALUES (1), (2), (3), (4)) AS d(doc)")
+    return images.routed(docs, spark.sql(f"SELECT * FROM {_PAGES}").withColumn("kind", kind))
 
 
 _DATES = "(VALUES (1, 2017, 6), (2, 2024, 6), (3, 2024, 5), (4, 2025, NULL), (5, 2024, NULL)) AS t(id, year, month)"
@@ -41,7 +40,8 @@ def plausible_dates(spark, sf_dir):
 _CLUSTERS = "(VALUES (0, 5), (1, 3), (2, 1), (3, 1)) AS t(cluster, size)"
 
 
-@query("SELECT * FROM (VALUES (0, 5, 2), (1, 3, 1), (2, 1, 0), (3, 1, 0)) AS t(cluster, size, quota)".replace("SELECT *", "SELECT cluster, size, CAST(quota AS BIGINT) AS quota"))
+@query(f"""WITH w AS (SELECT *, 3 * size // sum(size) OVER () AS whole, round(3.0 * size / sum(size) OVER () - floor(3.0 * size / sum(size) OVER ()), 12) AS rest FROM {_CLUSTERS})
+    SELECT cluster, size, CAST(whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, size DESC, cluster) <= 3 - sum(whole) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM w""")
 def quota_fixture(spark, sf_dir):
     return rank.quotas(spark.sql(f"SELECT * FROM {_CLUSTERS}"), 3)
 
@@ -71,13 +71,17 @@ def citation_graph(spark, sf_dir):
     return citations.graph(*_papers(spark))
 
 
-_REPLIES = "(VALUES (1, 'a [n1] b [#2] c [source 3]', 3), (2, 'see [1](http://x.y) and [9]', 2), (3, 'only [7]', 2)) AS t(id, reply, sources)"
+_REPLIES = "(VALUES (1, 'a [n1] b [#2] c [source 3]', 3), (2, 'see [1](http://x.y) and [9]', 2), (3, 'only [7]', 2), (4, '[N1] [ excerpt. 2 , 9] [1, 2](u) [ref 3]x[1,5]', 2), (5, 'none [x] [ 1 ]', 1), (6, '', 1)) AS t(id, reply, sources)"
+_LOOSE, _LINKED, _PLAIN = (p.replace("'", "''") for p in (replies.LOOSE, replies.LINKED, replies.PLAIN))
 
 
-@query("SELECT * FROM (VALUES (1, 'a [1] b [2] c [3]'), (2, 'see [1] and '), (3, 'only [7]')) AS t(id, reply)")
+@query(f"""WITH p AS (SELECT id, sources, regexp_replace(regexp_replace(reply, '{_LOOSE}', '[\\1]', 'g'), '{_LINKED}', '[\\1]', 'g') AS r FROM {_REPLIES}),
+    m AS (SELECT id, sources, string_split_regex(r, '{_PLAIN}') AS a, regexp_extract_all(r, '{_PLAIN}') AS b FROM p),
+    x AS (SELECT id, a, b, list_transform(b, lambda y: list_filter(list_transform(regexp_extract_all(y, '[0-9]+'), lambda z: CAST(z AS INT)), lambda z: z BETWEEN 1 AND sources)) AS n FROM m)
+    SELECT id, array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || CASE WHEN i > len(b) THEN '' WHEN len(n[i]) = 0 THEN b[i] ELSE '[' || array_to_string(n[i], ', ') || ']' END), '') AS reply FROM x""")
 def normalised_citations(spark, sf_dir):
-    rows = spark.sql(f"SELECT * FROM {_REPLIES}").withColumn("reply", grounding.normalise_markers(F.col("reply")))
-    return rows.select("id", grounding.drop_out_of_range(F.col("reply"), F.col("sources")).alias("reply"))
+    rows = spark.sql(f"SELECT * FROM {_REPLIES}")
+    return rows.select("id", replies.normalised(F.col("reply"), F.col("sources")).alias("reply"))
 
 
 @query("SELECT * FROM (VALUES (1, 1, 10), (2, 2, 0)) AS t(marker_id, quote_id, gap)")
@@ -136,12 +140,12 @@ _TRIPLES = "(VALUES ('a', 'is', 'b'), ('a', 'is', 'b'), ('b', 'has', ' '), (NULL
 _ENTITIES = "(VALUES ('a'), ('b'), (''), ('  '), (NULL), ('a'), ('c')) AS t(entity)"
 
 
-@query("SELECT * FROM (VALUES ('a', 'is', 'b'), ('b', 'has', 'c')) AS t(subject, predicate, object)")
+@query(f"SELECT DISTINCT subject, predicate, object FROM {_TRIPLES} WHERE trim(subject) <> '' AND trim(predicate) <> '' AND trim(object) <> ''")
 def clean_triples(spark, sf_dir):
     return knowledge.clean_triples(spark.sql(f"SELECT * FROM {_TRIPLES}"))
 
 
-@query(f"SELECT (SELECT count(DISTINCT entity) FROM {_ENTITIES} WHERE trim(entity) <> '') AS entities, CAST(2 AS BIGINT) AS relations, CAST(2 AS BIGINT) AS relation_types")
+@query(f"SELECT (SELECT count(DISTINCT entity) FROM {_ENTITIES} WHERE trim(entity) <> '') AS entities, (SELECT count(*) FROM (SELECT DISTINCT subject, predicate, object FROM {_TRIPLES} WHERE trim(subject) <> '' AND trim(predicate) <> '' AND trim(object) <> '')) AS relations, (SELECT count(DISTINCT predicate) FROM {_TRIPLES} WHERE trim(subject) <> '' AND trim(predicate) <> '' AND trim(object) <> '') AS relation_types")
 def graph_counts(spark, sf_dir):
     return knowledge.counts(spark.sql(f"SELECT * FROM {_ENTITIES}"), spark.sql(f"SELECT * FROM {_TRIPLES}"))
 
@@ -216,9 +220,12 @@ def classified_queries(spark, sf_dir):
     return spark.createDataFrame(rows, "id int, reply string").select("id", T.query_class(F.col("reply")).alias("c")).select("id", "c.type", "c.confidence")
 
 
-@query("SELECT * FROM (VALUES (1, 'ann@x.org'), (2, NULL), (3, NULL), (4, NULL)) AS t(id, email)")
+_EMAILS = "(VALUES (1, ' Ann@X.org '), (2, 'a b@x.org'), (3, 'a@x'), (4, NULL)) AS t(id, email)"
+
+
+@query(f"SELECT id, CASE WHEN regexp_matches(trim(email), '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') THEN lower(trim(email)) END AS email FROM {_EMAILS}")
 def normal_emails(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM (VALUES (1, ' Ann@X.org '), (2, 'a b@x.org'), (3, 'a@x'), (4, NULL)) AS t(id, email)")
+    rows = spark.sql(f"SELECT * FROM {_EMAILS}")
     return rows.select("id", T.normal_email(F.col("email")).alias("email"))
 
 

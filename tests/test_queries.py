@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lexforge.plans import corpus, fixtures  # noqa: F401
+from lexforge.plans import answers, corpus, fixtures  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
