@@ -49,6 +49,24 @@ def words(t):
     return WORD.findall(t or "")
 
 
+def shingles(w, k):
+    return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+def brute_targets(sizes):
+    """Shares by weight of 150 % of all sizes, none above twice its source's."""
+    left, todo = 1.5 * sum(sizes.values()), {s: [3, 1, 2][i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    target = {}
+    while todo:
+        level = left / sum(todo.values())
+        full = [s for s, w in todo.items() if level * w > 2 * sizes[s]]
+        for s in full or list(todo):
+            target[s] = 2.0 * sizes[s] if full else level * todo[s]
+            left -= target[s]
+            todo.pop(s)
+    return target
+
+
 def test_empty_tables(none):
     assert quality.quality(none).count() == 0 and quality.keep_good(none).count() == 0
     assert jaccard.similar(none).count() == 0 and substring.remove_repeats(none).count() == 0
@@ -89,25 +107,81 @@ def test_very_long_texts(spark):
     assert token_counts.deltas(token_counts.inserts(df, "words-1")).first()["n_tokens"] == 600_003
 
 
+def brute_counts(t):
+    """Counts that the rules look at, of one text, by plain Python."""
+    w = words(t)
+    g = list(zip(w, w[1:], w[2:], strict=False))
+    often = Counter(g)
+    hit = {k + j for k, x in enumerate(g) if often[x] > 1 for j in range(3)}
+    some = [x for x in (t or "").split("\n") if words(x)]
+    chars = Counter(t or "")
+    of = lambda ok: sum(n for c, n in chars.items() if ok(c))
+    return {
+        "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": of(lambda c: c in "#*$%&|<>"), "n_dup_lines": len(some) - len(set(some)), "n_repeat_words": len(hit),
+        "n_lines": len(some), "n_ended_lines": sum(words(x)[-1][-1] in ".!?\"')" for x in some), "n_letters": of(lambda c: c.isascii() and c.isalpha() or not c.isascii()), "n_digits": of(lambda c: c in "0123456789"),
+    }
+
+
+def brute_votes(c):
+    w, chars, lines = (max(c[k], 1) for k in ("n_words", "word_chars", "n_lines"))
+    mean = c["word_chars"] / w
+    bad_good = [
+        (c["n_words"] < 30, c["n_words"] >= 100), (c["n_symbols"] / w > 0.2, c["n_symbols"] / w < 0.05), (c["n_symbols"] / chars > 0.05, c["n_symbols"] / chars < 0.01),
+        (c["n_dup_lines"] / lines > 0.3, c["n_dup_lines"] == 0), (c["n_repeat_words"] / w > 0.3, c["n_repeat_words"] / w < 0.1), (not 3 <= mean <= 12, 3.5 <= mean <= 10),
+        (c["n_ended_lines"] / lines < 0.2, c["n_ended_lines"] / lines > 0.6), (c["n_letters"] / chars < 0.8, c["n_letters"] / chars > 0.9), (c["n_digits"] / chars > 0.15, c["n_digits"] / chars < 0.05),
+    ]
+    return [-1 if not c["n_words"] or bad else int(good) for bad, good in bad_good]
+
+
+def brute_posteriors(votes):
+    """EM document by document: two classes, independent votes, smoothed by the belief it starts from."""
+    start = {0: {-1: 0.4, 0: 0.2, 1: 0.4}, 1: {-1: 0.05, 0: 0.15, 1: 0.8}}
+    p, prior, n = {c: [dict(start[c]) for _ in votes[0]] for c in (0, 1)}, 0.5, len(votes)
+
+    def good(v):
+        a, b = prior, 1 - prior
+        for i, k in enumerate(v):
+            a, b = a * p[1][i][k], b * p[0][i][k]
+        return a / (a + b)
+
+    for _ in range(50):
+        r = [good(v) for v in votes]
+        prior = (sum(r) + 1) / (n + 2)
+        for c in (0, 1):
+            for i in range(len(votes[0])):
+                sums = {k: (0.01 * n + 1) * start[c][k] + sum((x if c else 1 - x) for x, v in zip(r, votes, strict=True) if v[i] == k) for k in (-1, 0, 1)}
+                p[c][i] = {k: s / sum(sums.values()) for k, s in sums.items()}
+    return [good(v) for v in votes]
+
+
+def brute_quality(texts):
+    """(counts, base_failed, posterior, kept) of each text."""
+    counts = [brute_counts(t) for t in texts]
+    failed = [c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"] for c in counts]
+    return [(c, f, p, not f and p >= 0.5) for c, f, p in zip(counts, failed, brute_posteriors([brute_votes(c) for c in counts]), strict=True)]
+
+
 def test_quality(docs):
     got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
-    for i, t, *_ in corpus():
-        w = words(t)
-        g = list(zip(w, w[1:], w[2:], strict=False))
-        often = Counter(g)
-        hit = {k + j for k, x in enumerate(g) if often[x] > 1 for j in range(3)}
-        seen, same = set(), 0
-        for line in (t or "").split("\n"):
-            if words(line):
-                same += line in seen
-                seen.add(line)
-        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), same, len(hit))
-        assert tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
-        assert got[i]["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
+    for (i, *_), (counts, failed, p, kept) in zip(corpus(), brute_quality([t for _, t, *_ in corpus()]), strict=True):
+        assert {c: got[i][c] for c in counts} == counts
+        assert (got[i]["base_failed"], got[i]["kept"]) == (failed, kept) and got[i]["posterior"] == pytest.approx(p, abs=1e-9)
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_quality_of_real_tables(spark):
+    from lexforge.llm import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in queries.op1_quality_rules(spark, "/root/testdata/sf0.001").collect()}
+    want = brute_quality([r["text"] for r in rows])
+    assert 0 < sum(kept for *_, kept in want) < len(rows)
+    for r, (counts, failed, p, kept) in zip(rows, want, strict=True):
+        g = got[r["doc_id"]]
+        assert (g["n_words"], g["n_dup_lines"], g["base_failed"], g["kept"]) == (counts["n_words"], counts["n_dup_lines"], failed, kept) and g["posterior"] == pytest.approx(p, abs=1e-9)
+
+
 def test_em_finds_the_bad_class():
     rng = random.Random(1)
     seen = Counter()
@@ -208,7 +282,7 @@ def test_jaccard(docs, k, percent, limit):
     sets = {}
     for i, t, *_ in corpus():
         w = words((t or "").translate(lower))
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+        sets[i] = shingles(w, k)
     root = {i: i for i in sets}
     for a in sets:
         for b in sets:
@@ -297,15 +371,7 @@ def test_mixing(docs):
     sizes = Counter()
     for r in rows:
         sizes[r["source"]] += r["size"]
-    left, todo = 1.5 * sum(sizes.values()), {s: w for s, w in zip(sorted(sizes, key=lambda s: (s is None, s or "")), [3, 1, 2, 3], strict=False)}
-    target = {}
-    while todo:
-        level = left / sum(todo.values())
-        full = [s for s, w in todo.items() if level * w > 2 * sizes[s]]
-        for s in full or list(todo):
-            target[s] = 2.0 * sizes[s] if full else level * todo[s]
-            left -= target[s]
-            todo.pop(s)
+    target = brute_targets(sizes)
     assert all(r["target"] == pytest.approx(target[r["source"]]) and r["copies"] <= 2 for r in rows)
     assert mixing.emit(docs).count() == sum(r["copies"] for r in rows)
 
@@ -454,11 +520,45 @@ def test_jaccard_of_null_and_repeated_ids(spark):
     assert out.columns == clash.columns and Counter((r["doc_id"], (r["text"] or "")[:1]) for r in out.collect()) == left
 
 
-def test_pipeline(spark):
+def brute_pipeline(rows):
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, text, source), stage by stage in plain Python."""
+    import tiktoken
+
+    good = [r for r, (*_, kept) in zip(rows, brute_quality([t for _, t, _ in rows]), strict=True) if kept]
+    good.sort(key=lambda r: r[0])
+    # line dedup; a document that lost all its lines with a word goes
+    left = brute_lines([(i, t) for i, t, _ in good], 50)
+    good = [(i, left[i], s) for i, t, s in good if left[i] == t or words(left[i])]
+    # the least id of each component of five-word shingles
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {i: shingles(words(t.translate(lower)), 5) for i, t, _ in good}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    good = [r for r in good if root[r[0]] == r[0]]
+    sizes = Counter()
+    for _, t, s in good:
+        sizes[s] += len(words(t))
+    target, out = brute_targets(sizes), Counter()
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    for i, t, s in good:
+        rate = target[s] / sizes[s] if sizes[s] else 0.0
+        copies = int(rate) + (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:8], 16) / 2**32 < rate - int(rate))
+        ids = enc.encode_ordinary(t)
+        out[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += copies
+    return +out
+
+
+def test_pipeline_is_brute_force(spark):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 50 and set(out.columns) >= {"doc_id", "n_tokens"}
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source").collect()]
+    got = Counter(tuple(r) for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
+    assert got == brute_pipeline(rows) and 50 < len(got) < len(rows)
 
 
 def test_arrow_slices():
