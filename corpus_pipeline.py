@@ -3,7 +3,7 @@
 Quality rules drop documents, line dedup cuts repeated runs of lines, the n-gram join leaves
 one document of each group of near copies (five-word shingles, 80 %), mixing repeats or
 drops documents towards the sources' target weights, and byte-level BPE encodes what is left.
-Rules are fitted by EM, so SQL cannot express the whole; no test compares its rows with a
+Rules are fitted by EM, so SQL cannot express the whole; a test compares its rows with a
 brute-force version.
 """
 
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.llm import bpe, jaccard, lines, mixing, quality
-from lexforge.llm.scratch import materialise
+from lexforge.llm.scratch import discard, materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each reads the table that the one before wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)  # documents itself was not written here and stays
     return STAGES[-1][1](spark, docs, sf_dir)
