@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexforge.functions.text import tokens
+from lexforge.functions.text import STOPWORDS, long_runs, tokens
+from lexforge.operators.graph import cut, if_small
 
 K1, B = 1.5, 0.75
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, tf); partial counts are combined before the shuffle."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    every = docs.select(F.col(id_col).alias("doc_id"), F.explode(long_runs(F.col(text_col))).alias("term"))
+    return every.where(~F.col("term").isin(STOPWORDS)).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """term_counts() as a written table: frequencies, lengths and hits read it, and the texts are split once."""
+    return cut(term_counts(docs, id_col, text_col))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -31,17 +38,22 @@ def retriever_scores(postings: DataFrame, n_docs: DataFrame, questions: DataFram
     A question's terms (item_id, text) are joined to the postings, so only documents that
     share a term are scored; a plural that is no term falls back to its singular.
     """
-    freq = document_frequencies(postings, n_docs)
     sizes = postings.groupBy("doc_id").agg(F.count("*").alias("dl"))
     average = sizes.agg(F.sum("dl").alias("total")).crossJoin(n_docs).select((F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
     asked = questions.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("asked"))
-    direct = asked.join(freq.select(F.col("term").alias("asked")), "asked", "left_semi").select("item_id", F.col("asked").alias("term"))
-    plural = asked.join(freq.select(F.col("term").alias("asked")), "asked", "left_anti").where(F.col("asked").endswith("s")).select("item_id", F.expr("substring(asked, 1, length(asked) - 1)").alias("term"))
-    wanted = direct.unionByName(plural).distinct().join(freq, "term")
+    singular = F.when(F.col("asked").endswith("s"), F.expr("substring(asked, 1, length(asked) - 1)"))
+    asked = cut(asked.withColumn("singular", singular))
+    either = asked.select(F.explode(F.array("asked", "singular")).alias("term")).where("term is not null")
+    freq = if_small(_wanted(postings, n_docs, either))  # of all postings, those of a term that may be asked for
+    known = freq.select(F.col("term").alias("asked"))
+    direct = asked.join(known, "asked", "left_semi").select("item_id", F.col("asked").alias("term"))
+    plural = asked.join(known, "asked", "left_anti").where("singular is not null").select("item_id", F.col("singular").alias("term"))
+    wanted = if_small(cut(direct.unionByName(plural).distinct().join(freq.select("term"), "term", "left_semi")))
     tf, length = F.col("tf"), F.col("dl") / F.col("avgdl")
     part = F.pow("idf", F.lit(2)) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length))
-    hits = wanted.join(postings, "term").join(sizes, "doc_id").crossJoin(F.broadcast(average))
-    return hits.groupBy("item_id", "doc_id").agg(F.sum(part).alias("bm25"))
+    # each posting is weighed once, dealt by document, before it meets the questions that ask for its term
+    weighed = postings.join(freq, "term").join(sizes, "doc_id").crossJoin(F.broadcast(average)).select("doc_id", "term", part.alias("part"))
+    return weighed.join(wanted, "term").groupBy("item_id", "doc_id").agg(F.sum("part").alias("bm25"))
 
 
 def top_with_floor(scores: DataFrame, k: int = 8, floor: float = 0.5) -> DataFrame:
@@ -52,14 +64,20 @@ def top_with_floor(scores: DataFrame, k: int = 8, floor: float = 0.5) -> DataFra
     return best.withColumn("cut", cut).where((F.col("rank") == 1) | (F.col("score") >= F.col("cut"))).drop("cut")
 
 
+def _wanted(postings: DataFrame, n_docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, df, idf) of the terms given, as a written table."""
+    terms = if_small(cut(terms.select("term").distinct()))
+    return cut(document_frequencies(postings.join(terms, "term", "left_semi"), n_docs))
+
+
 def ranker_scores(postings: DataFrame, n_docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, score) against one list of terms: plain idf, length in tokens."""
-    freq = document_frequencies(postings, n_docs).join(F.broadcast(terms), "term", "left_semi")
+    freq = if_small(_wanted(postings, n_docs, terms))
     sizes = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     average = sizes.agg(F.sum("dl").alias("total")).crossJoin(n_docs).select((F.col("total") / F.col("n")).alias("avgdl"))
     tf, length = F.col("tf"), F.col("dl") / F.col("avgdl")
     part = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length))
-    return postings.join(F.broadcast(freq), "term").join(sizes, "doc_id").crossJoin(F.broadcast(average)).groupBy("doc_id").agg(F.sum(part).alias("score"))
+    return postings.join(freq, "term").join(sizes, "doc_id").crossJoin(F.broadcast(average)).groupBy("doc_id").agg(F.sum(part).alias("score"))
 
 
 def window_scores(docs: DataFrame, n_docs: DataFrame, postings: DataFrame, terms: DataFrame, width: int = 180, most: int = 5) -> DataFrame:
@@ -67,14 +85,16 @@ def window_scores(docs: DataFrame, n_docs: DataFrame, postings: DataFrame, terms
 
     A last window under a quarter of the width goes unless it is the only one.
     """
-    freq = document_frequencies(postings, n_docs).join(F.broadcast(terms), "term", "left_semi")
+    freq = if_small(_wanted(postings, n_docs, terms).select("term", "idf"))
     every = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term")).withColumn("win", F.floor(F.col("pos") / width))
-    counts = every.groupBy("doc_id", "win", "term").agg(F.count("*").alias("tf"))
+    # all other terms of a window count as one, without an idf
+    known = every.join(freq, "term", "left").withColumn("term", F.when(F.col("idf").isNotNull(), F.col("term")))
+    counts = known.groupBy("doc_id", "win", "term", "idf").agg(F.count("*").alias("tf"))
     sizes = counts.groupBy("doc_id", "win").agg(F.sum("tf").alias("dl"))
     sizes = sizes.where((F.col("win") == 0) | (F.col("dl") >= width // 4))
     tf, length = F.col("tf"), F.col("dl") / F.lit(float(width))
     part = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length))
-    scored = counts.join(F.broadcast(freq), "term").join(sizes, ["doc_id", "win"]).groupBy("doc_id", "win").agg(F.sum(part).alias("s"))
+    scored = counts.where("idf is not null").join(sizes, ["doc_id", "win"]).groupBy("doc_id", "win").agg(F.sum(part).alias("s"))
     best = scored.withColumn("rn", F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("s").desc(), "win"))).where(F.col("rn") <= most)
     sums = best.groupBy("doc_id").agg((F.sum("s") / most).alias("score"))
     return docs.select("doc_id").join(sums, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -25,7 +25,7 @@ def hybrid_top8(spark, sf_dir):
     v = F.col("embedding").alias("v")
     sims = lexical.similarities(asked.join(vecs, asked.item_id == vecs.vec_id).select("item_id", v), docs.join(vecs, docs.doc_id == vecs.vec_id).select("doc_id", v)).withColumn("sim", F.round("sim", 6))
     boosts = corpus.keyword_boost(spark, sf_dir).join(docs.select("doc_id", F.col("source").alias("cluster")), "cluster")
-    tf = lexical.term_counts(docs)
+    tf = lexical.postings(docs)
     found = lexical.retriever_scores(tf, corpus._n(docs), asked).withColumn("bm25", F.round("bm25", 6))
     lex = found.withColumn("score", F.round(F.lit(0.3) * F.col("bm25") / F.max("bm25").over(W.partitionBy("item_id")), 6))
     scored = lexical.hybrid(sims, boosts, lex).withColumn("score", F.round("score", 6))

@@ -74,7 +74,7 @@ _BM25 = f"""{_TF},
     SELECT item_id, doc_id, bm25, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 8 AND (rank = 1 OR score >= greatest(0.5 * best, 0))""")
 def bm25_retriever_top8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = lexical.retriever_scores(lexical.term_counts(docs), _n(docs), table(spark, sf_dir, "benchmark"))
+    found = lexical.retriever_scores(lexical.postings(docs), _n(docs), table(spark, sf_dir, "benchmark"))
     found = found.withColumn("bm25", F.round("bm25", 6))
     return lexical.top_with_floor(found.withColumn("score", F.round(F.lit(0.3) * F.col("bm25") / F.max("bm25").over(W.partitionBy("item_id")), 6)))
 
@@ -94,7 +94,7 @@ _RANKER = f"""WITH {_TF}, {_KEYS}, dl AS (SELECT doc_id, sum(tf) AS dl FROM tf G
 
 def _ranker(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    tf = lexical.term_counts(docs)
+    tf = lexical.postings(docs)
     return lexical.ranker_scores(tf, _n(docs), lexical.corpus_keywords(tf, _n(docs))).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -111,7 +111,7 @@ def bm25_ranker_scores(spark, sf_dir):
     SELECT d.doc_id, round(coalesce((SELECT sum(s) / 5 FROM b WHERE b.doc_id = d.doc_id AND rn <= 5), 0), 6) AS score FROM documents d""")
 def topm_window_representativeness(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    tf = lexical.term_counts(docs)
+    tf = lexical.postings(docs)
     out = lexical.window_scores(docs, _n(docs), tf, lexical.corpus_keywords(tf, _n(docs)))
     return out.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -121,7 +121,7 @@ _NOVEL = f"WITH {_TF}, v AS (SELECT doc_id, round(avg(idf), 6) AS x FROM tf JOIN
 
 def _novelty(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    out = lexical.novelty(docs, lexical.term_counts(docs), _n(docs))
+    out = lexical.novelty(docs, lexical.postings(docs), _n(docs))
     return out.select("doc_id", F.round("novelty", 6).alias("novelty"))
 
 
@@ -150,7 +150,7 @@ def percentile_by_cluster(spark, sf_dir):
     SELECT cluster, list(term ORDER BY rn) AS keywords FROM r WHERE rn <= 20 GROUP BY cluster""")
 def cluster_keywords(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return lexical.cluster_keywords(lexical.term_counts(docs), _n(docs), docs.select("doc_id", F.col("source").alias("cluster")))
+    return lexical.cluster_keywords(lexical.postings(docs), _n(docs), docs.select("doc_id", F.col("source").alias("cluster")))
 
 
 @query(f"""WITH {_TF}, c AS (SELECT source AS cluster, term, round(sum(tf) * max(idf), 6) AS score FROM tf JOIN documents USING (doc_id) JOIN df USING (term) GROUP BY ALL),
