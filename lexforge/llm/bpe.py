@@ -25,12 +25,16 @@ import gc
 import hashlib
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces and stretches whose encoding a worker remembers, and transitions it keeps; each starts anew beyond.
-PIECES, STRETCHES, TRANSITIONS = 200_000, 300_000, 250_000
+#: Stretches whose encoding a worker remembers in a generation, and transitions and pairs it keeps before it starts anew.
+STRETCHES, TRANSITIONS, PAIRS = 200_000, 250_000, 500_000
+#: Characters of text that are encoded at once; a longer text is encoded alone.
+GROUP = 2_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,14 +54,16 @@ def merge(ranks: dict[bytes, int], text: bytes, below: int = 1 << 60) -> list[in
 
 
 class Transducer:
-    """Finite-state encoder compiled from ranks.
+    """Finite-state encoder compiled from ranks, determinised in two steps, each on first sight.
 
-    A state holds items (age, trie node, token before), each packed into one integer of
-    8, 24 and 32 bits; 0 stands for no token before.  ``age`` is the number of bytes since
-    the item's start, so that states do not depend on the position in the text.
+    Live token starts form a set of trie nodes.  The shorter ones are suffixes of the longest,
+    which therefore names the set; ``hops`` holds its moves, the tokens that end there and which
+    starts live on.  A state is such a set with the token before each of its starts; ``moves``
+    holds its next state and the token that ends the text so far.
     """
 
-    NOTHING = 0
+    #: Stands for no token before.
+    NOTHING = -1
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -78,13 +84,18 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         self.spines: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self.own: dict[int, bool] = {}
+        #: by the longest live node: all live nodes and their ages in bytes, oldest first
+        self.live: dict[int, tuple[tuple[int, int], ...]] = {0: ((0, 0),)}
+        self.hops: dict[int, tuple[int, tuple[tuple[int, int, int], ...], tuple[int, ...]]] = {}
         self.restart()
 
     def restart(self) -> None:
         """Forgets all states but the first, that of an empty text."""
-        self.states: list[tuple[int, ...]] = [(self.NOTHING,)]
+        self.states: list[tuple[int, tuple[int, ...]]] = [(0, (self.NOTHING,))]
         self.index = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, int, int]] = {}
+        if len(self.hops) > TRANSITIONS:
+            self.live, self.hops = {0: ((0, 0),)}, {}
 
     def spine(self, token: int, right: bool) -> list[int]:
         """The token, its part at the given edge, that part's part, down to one byte."""
@@ -110,7 +121,7 @@ class Transducer:
         key = (left << 32) | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > TRANSITIONS:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self.stable(-1, right) and self._never_joined(left, right)
         return known
@@ -133,26 +144,37 @@ class Transducer:
             else:
                 j -= 1
 
-    def move(self, state: int, byte: int) -> tuple[int, int, int]:
-        """Next state, the last token of the text so far and its length in bytes."""
-        last, length, items = -1, 0, []
-        children, tokens, pairs = self.children, self.token, self.pairs
-        for item in self.states[state]:
-            nxt = children[item >> 32 & 0xFFFFFF].get(byte)
+    def hop(self, node: int, byte: int) -> tuple[int, tuple[tuple[int, int, int], ...], tuple[int, ...]]:
+        """Next set of live nodes, the tokens that end (with length and start, longest first), the starts that live on."""
+        ends, starts, nodes = [], [], []
+        for i, (at, age) in enumerate(self.live[node]):
+            nxt = self.children[at].get(byte)
             if nxt is None:
                 continue
-            token = tokens[nxt]
-            before = (item & 0xFFFFFFFF) - 1
-            if token >= 0 and last < 0:
-                known = pairs.get(before << 32 | token) if before >= 0 else None
-                if self.stable(before, token) if known is None else known:
-                    last, length = token, (item >> 56) + 1
-            if children[nxt]:
-                items.append((item >> 56) + 1 << 56 | nxt << 32 | item & 0xFFFFFFFF)
-        if last < 0:
+            if self.token[nxt] >= 0:
+                ends.append((self.token[nxt], age + 1, i))
+            if self.children[nxt]:
+                starts.append(i)
+                nodes.append((nxt, age + 1))
+        nodes.append((0, 0))
+        target = nodes[0][0]
+        self.live.setdefault(target, tuple(nodes))
+        out = self.hops[node << 8 | byte] = (target, tuple(ends), tuple(starts))
+        return out
+
+    def move(self, state: int, byte: int) -> tuple[int, int, int]:
+        """Next state, the last token of the text so far and its length in bytes."""
+        node, before = self.states[state]
+        target, ends, starts = self.hops.get(node << 8 | byte) or self.hop(node, byte)
+        pairs = self.pairs
+        for last, length, i in ends:
+            left = before[i]
+            known = pairs.get(left << 32 | last) if left >= 0 else None
+            if self.stable(left, last) if known is None else known:
+                break
+        else:
             raise ValueError("the vocabulary lacks a byte")
-        items.append(last + 1)
-        key = tuple(items)
+        key = (target, (*[before[i] for i in starts], last))
         known = self.index.get(key)
         if known is None:
             known = self.index[key] = len(self.states)
@@ -173,7 +195,7 @@ class Transducer:
             back.append(hop[1:])
             if i - done >= 512:
                 # common history of the live items: follow each back and keep what all share
-                starts = [i + 1 - (item >> 56) for item in self.states[state]]
+                starts = [i + 1 - age for _, age in self.live[self.states[state][0]]]
                 paths = [self._path(back, base, s, done) for s in starts]
                 shared = min(map(len, paths))
                 k = 0
@@ -214,6 +236,35 @@ class Transducer:
         out.reverse()
         return out
 
+    def encode_sorted(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """Encodings of short pieces in order of their bytes; each is read on from where it leaves the one before."""
+        if len(self.moves) > TRANSITIONS:
+            self.restart()
+        moves, whole, back, before = self.moves, self.ranks.get, [], b""
+        for piece in pieces:
+            token = whole(piece)
+            if token is not None:
+                yield [token]
+                continue
+            at = 0
+            for x, y in zip(before, piece):  # noqa: B905  the shorter one ends it
+                if x != y:
+                    break
+                at += 1
+            del back[at:]
+            state = back[-1][0] if at else 0
+            for b in piece[at:]:
+                hop = moves.get(state << 8 | b) or self.move(state, b)
+                state = hop[0]
+                back.append(hop)
+            before, out, end = piece, [], len(piece)
+            while end:
+                _, token, length = back[end - 1]
+                out.append(token)
+                end -= length
+            out.reverse()
+            yield out
+
 
 class Utf8Machine:
     """UTF-8 states by the number of bytes that a started character still lacks.
@@ -254,63 +305,105 @@ class Utf8Machine:
 
 
 class Codec:
-    """Whole texts to ids and back, with the encodings of frequent pieces remembered."""
+    """Whole texts to ids and back, with the encodings of recent stretches remembered.
+
+    A stretch is what stands between spaces and line feeds.  Encodings are kept in two
+    generations: when the younger is full the elder goes, so that frequent stretches stay.
+    """
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.fst = Transducer(load_ranks(path))
         self.pieces = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.stretches: dict[str, tuple[tuple[int, ...], str]] = {}
-
-    def _encode(self, text: str) -> tuple[int, ...]:
-        out: list[int] = []
-        known, extend = self.known, out.extend
-        for piece in self.pieces(text):
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= PIECES:
-                    known.clear()
-                ids = tuple(self.fst.encode(piece.encode("utf-8")))
-                if len(piece) <= 64:
-                    known[piece] = ids
-            extend(ids)
-        return tuple(out)
-
-    def stretch(self, text: str) -> tuple[tuple[int, ...], str]:
-        ids = self._encode(text)
-        out = ids, ",".join(map(str, ids))
-        if len(text) <= 64:
-            if len(self.stretches) >= STRETCHES:
-                self.stretches.clear()
-            self.stretches[text] = out
+        self.young: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.elder: dict[str, tuple[tuple[int, ...], str]] = {}
+        # the cuts below are proved for the one pattern
+        self.cuts = pattern == public_tokenizers.PATTERN
+
+    def _encode(self, text: str) -> tuple[tuple[int, ...], str]:
+        encode = self.fst.encode
+        ids = tuple([i for piece in self.pieces(text) for i in encode(piece.encode("utf-8"))])
+        return ids, ",".join(map(str, ids))
+
+    @staticmethod
+    def lasting(text: str) -> bool:
+        """Whether to remember: white space at an edge, but for a stretch's first space, would hide where a text may not be cut."""
+        return 0 < len(text) <= 64 and not (text[-1].isspace() or text[:2].isspace() or len(text) > 1 and text[1].isspace())
+
+    def recall(self, text: str) -> tuple[tuple[int, ...], str]:
+        """The encoding of a stretch that is not among the younger ones."""
+        out = self.elder.get(text)
+        if out is None:
+            out = self._encode(text)
+        if text == "\n" or self.lasting(text):
+            self.young[text] = out
         return out
 
+    def learn(self, texts: list[str]) -> None:
+        """Encodes the new stretches of many texts in order, so that common beginnings are read once."""
+        if len(self.young) >= STRETCHES:
+            self.elder, self.young = self.young, {}
+        if not self.cuts:
+            return
+        young, elder, lasting = self.young, self.elder, self.lasting
+        new: set[str] = set()
+        for text in texts:
+            if len(text) <= GROUP:
+                new.update(text.replace(" ", "\n ").split("\n"))
+        new.difference_update(young)
+        matched, pieces = [], set()
+        for stretch in new:
+            if stretch in elder:
+                young[stretch] = elder[stretch]
+            elif lasting(stretch):
+                found = self.pieces(stretch)
+                pieces.update(found)
+                if len(found) > 1:
+                    matched.append((stretch, found))
+        order = []
+        for piece in sorted(pieces.difference(young)):
+            if piece in elder:
+                young[piece] = elder[piece]
+            else:
+                order.append(piece)
+        for piece, ids in zip(order, self.fst.encode_sorted([p.encode("utf-8") for p in order]), strict=True):
+            young[piece] = tuple(ids), ",".join(map(str, ids))
+        for stretch, found in matched:
+            both = [young[p] for p in found]
+            young[stretch] = tuple([i for ids, _ in both for i in ids]), ",".join([x for _, x in both])
+
     def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         """Ids, and the same in decimal, of stretches of text between matches.
 
-        A space between two characters other than white space always begins a match of
-        the pattern, so a text may be cut there and frequent stretches looked up.  Texts
-        with other spaces are taken whole.
+        A space between two characters other than white space always begins a match of the
+        pattern, and a line feed there is a match of its own; the text is cut there, so that
+        frequent stretches are looked up.  Lines with other white space are matched whole,
+        and so are texts with blank lines, or with white space at both sides of a line feed.
         """
-        cut = text.split(" ")
+        if not text:
+            return []
+        recall = self.recall
+        if not self.cuts:
+            return [self._encode(text)]
+        lines = text.split("\n")
+        if len(lines) > 1 and not all(line and not line[0].isspace() and not line[-1].isspace() for line in lines):
+            return [self.young.get(p) or recall(p) for p in self.pieces(text)]
         out = []
-        if len(cut) > 1:
-            if not cut[0] or cut[0][-1].isspace():
-                return [self.stretch(text)]
-            out.append(self.stretch(cut[0]))
-            get, add = self.stretches.get, out.append
-            for i in range(1, len(cut)):
-                part = " " + cut[i]
-                known = get(part)
-                if known is None:
-                    if len(part) == 1 or part[1].isspace() or part[-1].isspace():
-                        return [self.stretch(text)]
-                    known = self.stretch(part)
-                add(known)
-            return out
-        return [self.stretch(text)] if text else []
+        feed = self.young.get("\n") or recall("\n")
+        for n, line in enumerate(lines):
+            if n:
+                out.append(feed)
+            # each stretch but a line's first keeps the space before it
+            words = line.replace(" ", "\n ").split("\n")
+            found = list(map(self.young.get, words))
+            if None in found:
+                if any(len(w) < 2 or w[1].isspace() or w[-1].isspace() for w, f in zip(words[1:], found[1:], strict=True) if f is None) or words[0][-1:].isspace() or not words[0]:
+                    found = [self.young.get(p) or recall(p) for p in self.pieces(line)]
+                else:
+                    found = [f or recall(w) for w, f in zip(words, found, strict=True)]
+            out += found
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [i for ids, _ in self.parts(text) for i in ids]
@@ -332,6 +425,18 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
+def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose texts, the second column, together have some GROUP bytes, one row at least."""
+    start, size = 0, 0
+    for row, length in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+        if row > start and size + (length or 0) > GROUP:
+            yield batch.slice(start, row - start)
+            start, size = row, 0
+        size += length or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, keep: bool = True) -> DataFrame:
     """Adds to each id the token ids of its text and the digests of ids and of decoded bytes.
 
@@ -341,12 +446,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
+        gc.disable()  # nothing here refers to itself, and the collector would walk all caches again and again
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):  # so that the ids of few texts are held at once
-                part = batch.slice(start, 256)
+            for part in groups(batch):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                c.learn(texts)
                 rows: list[tuple] = []
-                for text in part.column(1):
-                    parts = c.parts(text.as_py() or "")
+                for text in texts:
+                    parts = c.parts(text)
                     ids = [i for p, _ in parts for i in p]
                     back = hashlib.sha256()
                     for s in c.decode_stream(ids):
@@ -355,6 +462,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] if with_ids else [])]
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+        gc.enable()
         if not keep:
             _CODECS.clear()
             del c
