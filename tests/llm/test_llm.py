@@ -304,6 +304,23 @@ def test_bpe_is_tiktoken(docs):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest()
 
 
+def test_bpe_of_odd_white_space(monkeypatch):
+    import tiktoken
+
+    for name, few in (("STRETCHES", 300), ("TRANSITIONS", 500), ("PAIRS", 200)):  # all caches start anew many times
+        monkeypatch.setattr(bpe, name, few)
+    path, rng = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), random.Random(5)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    parts = ["a", "the", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x85", "\u3000", "'s", "'", "\u00e9", "\u4e2d", "\U0001f600", "23", "##", "word", "don't", "."]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(3000)] + ["x" * 3000, "ab " * 3000, "\n" * 700]
+    codec = bpe.Codec(path, public_tokenizers.PATTERN)
+    for start in range(0, len(texts), 100):
+        if start % 300:  # some texts are met without the others' stretches learned before
+            codec.learn(texts[start : start + 100])
+        for text in texts[start : start + 100]:
+            assert codec.encode(text) == enc.encode_ordinary(text)
+
+
 def test_utf8_machine():
     raw = "aé日🙂".encode() + b"\xff\xe6"
     machine = bpe.Utf8Machine()
