@@ -12,12 +12,15 @@ steps, none of which forms pairs:
   the connected components of these ties are blocks; no link leaves its block.
 * A block's sets go to one task, where they are stored in a prefix tree, most frequent
   shingle first, so that shared parts are stored and compared once.  A probe walks down with
-  its overlap so far and leaves a subtree when even the rest of both cannot reach the
-  threshold, or when all its sets already are in the probe's component.
+  its overlap so far, to the sets of other components that share enough of its rarest
+  shingles among theirs, and leaves a subtree when even the rest of both cannot reach the
+  threshold; where most of the tree would be walked, all of it is read in one pass.
 
-Blocks over ``block_shingles`` are dealt into chunks, and each pair of chunks is a task of its
-own; the links found then go through components() again.  Memory of a task is bounded by two
-chunks.
+Texts that share a passage tie unlike sets, so some blocks grow with the table.  Those over
+``block_shingles`` are cut into bands by size: a band has the sizes of two neighbouring intervals, and
+linked sets lie in one interval or in neighbours, so they have a band in common.  Bands still
+over ``block_shingles`` are dealt into chunks, and each pair of chunks is a task of its own; the
+links found then go through components() again.  Memory of a task is bounded by two chunks.
 
 Defined results: a null, empty or blank text has an empty set and no links, its component is
 its own id; rows that repeat an id, or have none, are told apart by their texts, so each is
@@ -41,6 +44,8 @@ from lexforge.llm.scratch import discard, materialise, unused
 from lexforge.llm.words import Chunk, grams, mix, texts
 
 LAST = (1 << 63) - 1
+#: A tree of fewer shingles for each candidate is read as a whole, not walked.
+SCAN = 5000
 
 
 def shingle_sets(c: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +102,29 @@ def _full_sets(k: int):
                 doc, g = shingle_sets(c, k)
                 edge = np.searchsorted(doc, np.arange(c.n_docs + 1))
                 raw = [g[edge[i] : edge[i + 1]].tobytes() for i in range(c.n_docs)]
-                rest = [batch.column(i).slice(c.first, c.n_docs) for i in (0, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(raw, pa.binary())], names=["id", "block", "part", "parts", "grams"])
+                rest = [batch.column(i).slice(c.first, c.n_docs) for i in (0, 2, 3, 4, 5)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(raw, pa.binary())], names=["id", "block", "band", "part", "parts", "grams"])
+
+    return run
+
+
+def ends(most: int, percent: int) -> list[int]:
+    """Last sizes of intervals up to most; linked sets lie in one interval or in neighbours."""
+    out = [0]
+    while out[-1] < most:
+        out.append(100 * (out[-1] + 1) // percent)
+    return out[1:]
+
+
+def _bands(percent: int):
+    """Both bands of sets by their sizes, from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            at = np.searchsorted(np.array(ends(int(n.max(initial=0)), percent), np.int64), n)
+            for band in (at, at + 1):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(band.astype(np.int32))], names=[*batch.schema.names, "band"])
 
     return run
 
@@ -141,26 +167,76 @@ class PrefixTree:
         n = len(self.nodes)
         lo, hi, end = (np.array([x[i] for x in self.nodes]) for i in (0, 1, 3))
         lengths = np.array([len(s) for s in self.sets])
+        self.starts = [np.zeros(0, np.int64)] * n
         self.longest = np.zeros(n, np.int64)
         self.smallest = np.zeros(n, np.int64)
         for i in range(n):
             self.longest[i] = lengths[lo[i] : hi[i]].max() - end[i]
             self.smallest[i] = self.sizes[lo[i] : hi[i]].min()
+            if self.nodes[i][4]:
+                self.nodes[i][4].sort(key=lo.__getitem__)
+                self.starts[i] = lo[self.nodes[i][4]]
+        # all segments in a row, parents before children, and the number behind each node's last descendant
+        self.flat = np.concatenate([*(self.sets[x[0]][x[2] : x[3]] for x in self.nodes), np.zeros(0, np.int64)])
+        self.edge = np.concatenate(([0], np.cumsum([x[3] - x[2] for x in self.nodes], dtype=np.int64)))
+        self.behind = np.arange(1, n + 1)
+        self.node_of = np.zeros(len(self.sets), np.int64)
+        for i in range(n - 1, -1, -1):
+            if self.nodes[i][4]:
+                self.behind[i] = self.behind[self.nodes[i][4]].max()
+            else:
+                self.node_of[lo[i]] = i
+
+    def index(self, percent: int) -> None:
+        """Leaves by each of their rarest shingles; of those, linked sets share the lesser ``fewest`` at least.
+
+        Linked sets share percent of either's shingles at least.  So with f more shingles than it may lack,
+        each of them has f of the shared ones among its rarest; those that meet nobody are the rarest of all.
+        """
+        lacks = spare(self.sizes, percent)
+        self.fewest = np.minimum(lacks // 2 + 1, self.sizes - lacks)
+        kept = lacks + self.fewest - (self.sizes - np.array([len(s) for s in self.sets], np.int64))
+        self.rarest = [s[max(0, len(s) - k) :] if k > 0 else s[:0] for s, k in zip(self.sets, kept.tolist(), strict=True)]
+        every = np.concatenate([*self.rarest, np.zeros(0, np.int64)])
+        leaf = np.repeat(np.arange(len(self.sets)), [len(r) for r in self.rarest])
+        order = np.argsort(every, kind="stable")
+        ranks, first = np.unique(every[order], return_index=True)
+        self.having = dict(zip(ranks.tolist(), np.split(leaf[order], first[1:]), strict=False))
+
+    def candidates(self, leaf: int, percent: int, label: np.ndarray) -> np.ndarray:
+        """Leaves after this one, of other components and sizes that may link, with enough of the rarest shingles in common."""
+        own = self.rarest[leaf]
+        if not len(own):
+            return np.zeros(0, np.int64)
+        met = np.bincount(np.concatenate([self.having[r] for r in own.tolist()]))[leaf + 1 :]
+        found = np.flatnonzero(met)
+        met, found = met[found], found + leaf + 1
+        size, sizes = self.sizes[leaf], self.sizes[found]
+        fit = (met >= np.minimum(self.fewest[leaf], self.fewest[found])) & (label[found] != label[leaf])
+        return found[fit & (100 * sizes >= percent * size) & (100 * size >= percent * sizes)]
+
+    def overlaps(self, mask: np.ndarray) -> np.ndarray:
+        """Shingles of the mask on the way to each leaf; each segment is compared once."""
+        met = np.concatenate(([0], np.cumsum(mask[self.flat], dtype=np.int32)))
+        own = met[self.edge[1:]] - met[self.edge[:-1]]
+        left = np.bincount(self.behind, own, len(own) + 1)[:-1].astype(np.int64)
+        return np.cumsum(own - left)[self.node_of]
 
     def partners(self, leaf: int, percent: int, width: int, label: np.ndarray) -> list[int]:
         """Leaves after this one, of other components, whose sets reach the threshold."""
+        among = self.candidates(leaf, percent, label)
+        if not len(among):
+            return []
         own, size = self.sets[leaf], int(self.sizes[leaf])
         mask = np.zeros(width, bool)
         mask[own] = True
-        out, todo = [], [(self.root, 0)]
+        if len(self.flat) < SCAN * len(among):
+            met, sizes = self.overlaps(mask)[among], self.sizes[among]
+            return among[100 * met >= percent * (size + sizes - met)].tolist()
+        out, todo = [], [(self.root, 0, among)]
         while todo:
-            node, overlap = todo.pop()
-            lo, hi, start, end, children = self.nodes[node]
-            if hi <= leaf + 1:
-                continue
-            others = label[max(lo, leaf + 1) : hi]
-            if (others == label[leaf]).all():
-                continue
+            node, overlap, among = todo.pop()
+            lo, _, start, end, children = self.nodes[node]
             path = self.sets[lo]
             if end > start:
                 overlap += int(mask[path[start:end]].sum())
@@ -169,7 +245,9 @@ class PrefixTree:
             if 100 * most < percent * (size + int(self.smallest[node]) - most):
                 continue
             if children:
-                todo += [(child, overlap) for child in children]
+                child = np.searchsorted(self.starts[node], among, "right") - 1
+                cuts = [0, *(1 + np.flatnonzero(child[1:] != child[:-1])).tolist(), len(child)]
+                todo += [(children[child[a]], overlap, among[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
             elif 100 * overlap >= percent * (size + int(self.sizes[lo]) - overlap):
                 out.append(lo)
         return out
@@ -189,6 +267,7 @@ def join_block(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndar
     local = [np.sort(r[r < width]) for r in (ranked[edge[i] : edge[i + 1]] for i in range(len(sets)))]
     tree = PrefixTree(local, sizes)
     tree.limits()
+    tree.index(percent)
     label = ids[tree.order].copy()
     for leaf in range(len(sets)):
         for other in tree.partners(leaf, percent, width, label):
@@ -202,9 +281,9 @@ def join_block(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndar
 
 def _joined(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["block", "id"])  # equal rows only: an id here is the number of a set
+        pdf = pdf.drop_duplicates(["block", "band", "id"])  # equal rows only: an id here is the number of a set
         found = []
-        for _, block in pdf.groupby("block", sort=False):
+        for _, block in pdf.groupby(["block", "band"], sort=False):
             ids = block["id"].to_numpy()
             found.append(pd.DataFrame({"a": ids, "b": join_block(ids, [np.frombuffer(x, np.uint64) for x in block["grams"]], percent)}))
         out = pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
@@ -251,18 +330,24 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     members = materialise(members, "members")
     discard(alone)
     discard(keys)
-    blocks = members.groupBy("block").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("parts"))
-    members = members.join(blocks, "block").select("id", "doc", "v", "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "parts")
-    total, several = members.agg(F.count("*"), F.max("parts")).first()
-    full = rows.withColumnRenamed("id", "doc").join(members.hint("merge"), ["doc", "v"]).select("id", "text", "block", "part", "parts").mapInArrow(_full_sets(k), "id long, block long, part int, parts int, grams binary")
-    # small blocks share tasks; a block of several parts has a task for each pair of parts
+    sizes = materialise(members.groupBy("block").agg(F.sum("n").alias("t")).where(F.col("t") > block_shingles).select("block"), "large")
+    large = F.broadcast(sizes)
+    banded = members.join(large, "block").select("id", "doc", "v", "n", "block").mapInArrow(_bands(percent), "id long, doc long, v long, n long, block long, band int")
+    members = members.join(large, "block", "left_anti").select("id", "doc", "v", "n", "block", F.lit(-1).alias("band")).unionByName(banded)
+    parts = banded.groupBy("block", "band").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("several"))
+    members = members.join(F.broadcast(parts), ["block", "band"], "left").withColumn("parts", F.coalesce("several", F.lit(1)))
+    members = materialise(members.select("id", "doc", "v", "block", "band", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "parts"), "members")
+    total = members.count()
+    full = rows.withColumnRenamed("id", "doc").join(members.hint("merge"), ["doc", "v"]).select("id", "text", "block", "band", "part", "parts")
+    full = full.mapInArrow(_full_sets(k), "id long, block long, band int, part int, parts int, grams binary")
+    # blocks that are not cut share tasks; a band of several parts has a task for each pair of parts
     other = F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(-1))))
     full = full.withColumn("other", other)
     bins = max(24, total // 2000)
-    task = F.when(F.col("other") < 0, F.struct(F.lit(-1).cast("long").alias("block"), F.pmod(F.xxhash64("block"), F.lit(bins)).cast("int").alias("i"), F.lit(0).alias("j")))
-    task = task.otherwise(F.struct(F.col("block"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
+    task = F.when(F.col("band") < 0, F.struct(F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("band"), F.pmod(F.xxhash64("block"), F.lit(bins)).cast("int").alias("i"), F.lit(0).alias("j")))
+    task = task.otherwise(F.struct(F.col("block"), F.col("band"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
     links = materialise(full.groupBy(task.alias("task")).applyInPandas(_joined(percent), "a long, b long"), "pairs")
-    roots = components(links) if (several or 0) > 1 else links.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    roots = components(links) if not sizes.isEmpty() else links.select(F.col("a").alias("id"), F.col("b").alias("root"))
     # the least id of each component with links
     linked = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "node")
     least = linked.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))

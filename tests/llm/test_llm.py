@@ -293,6 +293,38 @@ def test_jaccard(docs, k, percent, limit):
     assert got == {i: (len(s), root[i]) for i, s in sets.items()}
 
 
+def chained(n):
+    """Sets of 40 numbers, each with four of the next set's, some followed by a near copy."""
+    rng = np.random.default_rng(5)
+    own = rng.integers(0, 1 << 62, (n + 1, 40), dtype=np.uint64)
+    sets = [np.unique(np.concatenate([own[i, :36], own[i + 1, :4]])) for i in range(n)]
+    return [s for i, x in enumerate(sets) for s in ([x, np.sort(x[:-2])] if i % 10 == 0 else [x])]
+
+
+@pytest.mark.parametrize("percent", [20, 50, 85, 100])
+def test_linked_sizes_share_a_band(percent):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1, 400))], names=["n"])
+    bands = {}
+    for out in jaccard._bands(percent)([batch]):
+        for n, band in zip(out.column("n").to_pylist(), out.column("band").to_pylist(), strict=True):
+            bands.setdefault(n, set()).add(band)
+    assert all(bands[a] & bands[b] for b in bands for a in range(1, b + 1) if 100 * a >= percent * b)
+    assert percent < 85 or not bands[100] & bands[200]
+
+
+@pytest.mark.parametrize("scan", [0, 1 << 60])
+def test_probes_meet_candidates_only(monkeypatch, scan):
+    """Probes of unlike sets are not walked to each other's leaves, and the links are those of all pairs."""
+    monkeypatch.setattr(jaccard, "SCAN", scan)
+    sets = chained(200)
+    seen, found = [], jaccard.PrefixTree.candidates
+    monkeypatch.setattr(jaccard.PrefixTree, "candidates", lambda *a: seen.append(out := found(*a)) or out)
+    got = jaccard.join_block(np.arange(len(sets)), sets, 85)
+    some = [set(s.tolist()) for s in sets]
+    least = [min(j for j in range(len(some)) if 100 * len(some[i] & some[j]) >= 85 * len(some[i] | some[j])) for i in range(len(some))]
+    assert got.tolist() == least and sum(map(len, seen)) <= 2 * 20
+
+
 def test_bpe_is_tiktoken(docs):
     import tiktoken
 
