@@ -353,6 +353,15 @@ def test_bpe_of_odd_white_space(monkeypatch):
             assert codec.encode(text) == enc.encode_ordinary(text)
 
 
+def test_decoded_bytes_are_those_of_the_ids():
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = "Äpfel é 日本語 🙂\n\nx " * 3
+    ids = codec.encode(text)
+    for step in (1, 2, 4096):
+        assert b"".join(codec.decode_bytes(ids, step)) == text.encode() and "".join(codec.decode_stream(ids, step)) == text
+    assert b"".join(codec.decode_bytes([codec.fst.ranks[b"\xc3"]])) == b"\xc3"  # half a character stays as it is
+
+
 def test_utf8_machine():
     raw = "aé日🙂".encode() + b"\xff\xe6"
     machine = bpe.Utf8Machine()
