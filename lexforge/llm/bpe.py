@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import base64
 import codecs
+import contextlib
+import ctypes
 import gc
 import hashlib
 from collections.abc import Iterator
@@ -65,8 +67,10 @@ class Transducer:
     #: Stands for no token before.
     NOTHING = -1
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0):
         self.ranks = ranks
+        #: of TRANSITIONS and PAIRS that are kept
+        self.share = share
         self.bytes_of = {v: k for k, v in ranks.items()}
         # a byte trie; token[n] is the token that node n spells, or -1
         self.children: list[dict[int, int]] = [{}]
@@ -94,7 +98,7 @@ class Transducer:
         self.states: list[tuple[int, tuple[int, ...]]] = [(0, (self.NOTHING,))]
         self.index = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, int, int]] = {}
-        if len(self.hops) > TRANSITIONS:
+        if len(self.hops) > TRANSITIONS * self.share:
             self.live, self.hops = {0: ((0, 0),)}, {}
 
     def spine(self, token: int, right: bool) -> list[int]:
@@ -121,7 +125,7 @@ class Transducer:
         key = (left << 32) | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > PAIRS:
+            if len(self.pairs) > PAIRS * self.share:
                 self.pairs.clear()
             known = self.pairs[key] = self.stable(-1, right) and self._never_joined(left, right)
         return known
@@ -184,7 +188,7 @@ class Transducer:
 
     def stream(self, text: bytes) -> Iterator[int]:
         """Tokens of one piece, each as soon as no live item can contradict it."""
-        if len(self.moves) > TRANSITIONS:
+        if len(self.moves) > TRANSITIONS * self.share:
             self.restart()
         moves, state = self.moves, 0
         back: list[tuple[int, int]] = []  # last token and its length, for each end position
@@ -221,7 +225,7 @@ class Transducer:
             return [whole]
         if len(piece) > 512:
             return list(self.stream(piece))
-        if len(self.moves) > TRANSITIONS:
+        if len(self.moves) > TRANSITIONS * self.share:
             self.restart()
         moves, state, back = self.moves, 0, []
         for b in piece:
@@ -238,7 +242,7 @@ class Transducer:
 
     def encode_sorted(self, pieces: list[bytes]) -> Iterator[list[int]]:
         """Encodings of short pieces in order of their bytes; each is read on from where it leaves the one before."""
-        if len(self.moves) > TRANSITIONS:
+        if len(self.moves) > TRANSITIONS * self.share:
             self.restart()
         moves, whole, back, before = self.moves, self.ranks.get, [], b""
         for piece in pieces:
@@ -311,10 +315,11 @@ class Codec:
     generations: when the younger is full the elder goes, so that frequent stretches stay.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, share: float = 1.0):
         import regex
 
-        self.fst = Transducer(load_ranks(path))
+        self.fst = Transducer(load_ranks(path), share)
+        self.share = share
         self.pieces = regex.compile(pattern).findall
         self.young: dict[str, tuple[tuple[int, ...], str]] = {}
         self.elder: dict[str, tuple[tuple[int, ...], str]] = {}
@@ -342,14 +347,14 @@ class Codec:
 
     def learn(self, texts: list[str]) -> None:
         """Encodes the new stretches of many texts in order, so that common beginnings are read once."""
-        if len(self.young) >= STRETCHES:
+        if len(self.young) >= STRETCHES * self.share:
             self.elder, self.young = self.young, {}
         if not self.cuts:
             return
         young, elder, lasting = self.young, self.elder, self.lasting
         new: set[str] = set()
         for text in texts:
-            if len(text) <= GROUP:
+            if len(text) <= GROUP * self.share:
                 new.update(text.replace(" ", "\n ").split("\n"))
         new.difference_update(young)
         matched, pieces = [], set()
@@ -420,21 +425,29 @@ class Codec:
         yield machine.finish()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str, float], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, share: float = 1.0) -> Codec:
     """One codec for each worker process."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    if (path, pattern, share) not in _CODECS:
+        _CODECS[path, pattern, share] = Codec(path, pattern, share)
+    return _CODECS[path, pattern, share]
 
 
-def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows whose texts, the second column, together have some GROUP bytes, one row at least."""
+def give_back() -> None:
+    """Returns to the machine what the process has freed and its allocators still hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # other C libraries than glibc lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def groups(batch: pa.RecordBatch, most: float) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose texts, the second column, together have some ``most`` bytes, one row at least."""
     start, size = 0, 0
     for row, length in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
-        if row > start and size + (length or 0) > GROUP:
+        if row > start and size + (length or 0) > most:
             yield batch.slice(start, row - start)
             start, size = row, 0
         size += length or 0
@@ -442,36 +455,42 @@ def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, keep: bool = True) -> DataFrame:
+def _encoded(c: Codec, batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in groups(batch, GROUP * c.share):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            c.learn(texts)
+            rows: list[tuple] = []
+            for text in texts:
+                parts = c.parts(text)
+                ids = [i for p, _ in parts for i in p]
+                back = hashlib.sha256()
+                for data in c.decode_bytes(ids):
+                    back.update(data)
+                rows.append((len(ids), hashlib.sha256(",".join([s for _, s in parts]).encode()).hexdigest(), back.hexdigest(), *([ids] if with_ids else [])))
+            kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] if with_ids else [])]
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, keep: bool = True, share: float = 1.0) -> DataFrame:
     """Adds to each id the token ids of its text and the digests of ids and of decoded bytes.
 
     ``path`` names the rank file, which every executor must have at that place.  A worker keeps
-    its caches, some 300 MB over 16,000 texts, for its next task, or lets them go at a task's end.
+    its caches, some 300 MB over 16,000 texts, for its next task, or lets them go at a task's end,
+    however it ends, and their memory with them.  ``share`` makes the caches, and the texts encoded
+    at once, so much smaller: it changes memory and time, not results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
         gc.disable()  # nothing here refers to itself, and the collector would walk all caches again and again
-        for batch in batches:
-            for part in groups(batch):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                c.learn(texts)
-                rows: list[tuple] = []
-                for text in texts:
-                    parts = c.parts(text)
-                    ids = [i for p, _ in parts for i in p]
-                    back = hashlib.sha256()
-                    for data in c.decode_bytes(ids):
-                        back.update(data)
-                    rows.append((len(ids), hashlib.sha256(",".join([s for _, s in parts]).encode()).hexdigest(), back.hexdigest(), *([ids] if with_ids else [])))
-                kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] if with_ids else [])]
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
-        gc.enable()
-        if not keep:
-            _CODECS.clear()
-            del c
-            gc.collect()
+        try:
+            yield from _encoded(codec(path, pattern, share), batches, with_ids)
+        finally:
+            gc.enable()
+            if not keep:
+                _CODECS.clear()
+                give_back()
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return out.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))

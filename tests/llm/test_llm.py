@@ -353,6 +353,70 @@ def test_bpe_of_odd_white_space(monkeypatch):
             assert codec.encode(text) == enc.encode_ordinary(text)
 
 
+class Taken:
+    """Stands for a table and gives what would run in a worker."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def odd_texts(n, words):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(words)) for _ in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+
+
+def test_encoder_lets_go_however_a_task_ends(spark, monkeypatch):
+    import gc
+
+    monkeypatch.setattr(bpe, "_CODECS", {})
+    monkeypatch.setattr(bpe, "GROUP", 100)
+    run = bpe.encode(Taken(), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False, keep=False)
+    task = run(iter([odd_texts(10, 20)]))
+    try:
+        assert next(task).num_rows == 1 and len(bpe._CODECS) == 1
+        task.close()  # as when a limit is reached
+        assert gc.isenabled() and not bpe._CODECS
+    finally:
+        gc.enable()
+
+
+def test_pipeline_encodes_with_small_caches(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(bpe, "_CODECS", {})
+    for name, few in (("STRETCHES", 3000), ("GROUP", 10_000)):
+        monkeypatch.setattr(bpe, name, few)
+    batch, rows, held = odd_texts(40, 400), [], []
+    for out in corpus_pipeline.encode(spark, Taken(), "")(iter([batch])):
+        rows += out.to_pylist()
+        (codec,) = bpe._CODECS.values()
+        held.append(len(codec.young) + len(codec.elder))
+    assert 0 < max(held) <= 4000 and not bpe._CODECS
+    alone = bpe.encode(Taken(), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    assert rows == [r for out in alone(iter([batch])) for r in out.to_pylist()]
+
+
+def test_encoder_gives_memory_back(spark, monkeypatch):
+    import ctypes
+
+    import corpus_pipeline
+
+    def own():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith("Pss_Anon")) / 1024
+
+    monkeypatch.setattr(bpe, "_CODECS", {})
+    run = corpus_pipeline.encode(spark, Taken(), "")
+    assert sum(out.num_rows for out in run(iter([odd_texts(300, 400)]))) == 300
+    after = own()
+    ctypes.CDLL(None).malloc_trim(0)
+    assert after - own() < 5
+
+
 def test_decoded_bytes_are_those_of_the_ids():
     codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     text = "Äpfel é 日本語 🙂\n\nx " * 3
