@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from lexforge.operators.graph import components
+from lexforge.operators.graph import components, cut
 
 
 def _tiles(n: int, first: int = 256, most: int = 2048) -> list[slice]:
@@ -148,6 +148,7 @@ def nearest(vectors: DataFrame, k: int = 10, blocks: int = 12, least: int = 2048
 
 def mutual(neighbours: DataFrame) -> DataFrame:
     """(i, j, sim), i < j, where each is among the other's neighbours."""
+    neighbours = cut(neighbours.select("i", "j", "sim"))  # else both sides would find them
     back = neighbours.select(F.col("i").alias("j"), F.col("j").alias("i"))
     return neighbours.join(back, ["i", "j"]).where("i < j").select("i", "j", "sim")
 

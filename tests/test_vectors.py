@@ -30,3 +30,11 @@ def test_a_vector_goes_to_few_tasks(spark):
     at = np.random.default_rng(2).normal(size=(500, 4))
     plan = vectors.nearest(_table(spark, np.tile(at, (60, 1))), 2)._jdf.queryExecution().toString()
     assert "sequence(0, 11" in plan and "sequence(0, 14" not in plan  # 15 blocks a side before, and more with every row
+
+
+def test_mutual_links_find_neighbours_once(spark):
+    at = np.random.default_rng(3).normal(size=(60, 4))
+    links = vectors.mutual(vectors.nearest(_table(spark, at), 3))
+    assert "InArrow" not in (plan := links._jdf.queryExecution().toString()) and "InPandas" not in plan
+    near = {(i, j) for i, j, _ in _brute(at, 3)}
+    assert {(r["i"], r["j"]) for r in links.collect()} == {(i, j) for i, j in near if i < j and (j, i) in near}
