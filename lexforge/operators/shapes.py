@@ -65,20 +65,34 @@ def centroids(points: DataFrame) -> DataFrame:
 
 
 def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Joins the nearest outsider to the tree until all are in; each outsider keeps its nearest member, the earliest if tied."""
+    """Joins the nearest outsider to the tree until all are in; each outsider keeps its nearest member, the earliest if tied.
+
+    Outsiders lie at the front of arrays that are made once; who joins gives its place to the last of them.
+    """
     pdf = pdf.sort_values("id")
     ids, at = pdf["id"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float)
-    near, gap, joined = np.zeros(len(ids), int), np.sqrt(((at - at[0]) ** 2).sum(1)), np.zeros(len(ids), int)
-    out, rest, links = 1, np.arange(1, len(ids)), []
-    while len(rest):
-        i = rest[np.lexsort((rest, joined[near[rest]], gap[rest]))[0]]
-        links.append((pdf["cluster"].iloc[0], ids[near[i]], ids[i], gap[i]))
-        joined[i], out = out, out + 1
-        rest = rest[rest != i]
-        d = np.sqrt(((at[rest] - at[i]) ** 2).sum(1))
-        less = rest[d < gap[rest]]
-        near[less], gap[less] = i, d[d < gap[rest]]
-    return pd.DataFrame(links, columns=["cluster", "a", "b", "distance"])
+    rest, joined = np.arange(1, len(ids)), np.zeros(len(ids), int)
+    near, axes = np.zeros(len(rest), int), [c.copy() for c in at[1:].T]
+    gap, d, part = np.sqrt(((at[1:] - at[0]) ** 2).sum(1)), np.empty(len(rest)), np.empty(len(rest))
+    links, parents = [], []
+    for left in range(len(rest), 0, -1):
+        least = np.fmin.reduce(gap[:left])  # nan only if there is nothing else
+        ties = np.flatnonzero(gap[:left] == least) if least == least else np.arange(left)
+        k = ties[0] if len(ties) == 1 else ties[np.lexsort((rest[ties], joined[near[ties]]))[0]]
+        i, last = rest[k], left - 1
+        links.append((i, gap[k]))
+        parents.append(near[k])
+        joined[i] = len(links)
+        for column in (rest, near, gap, *axes):
+            column[k] = column[last]
+        np.square(np.subtract(axes[0][:last], at[i, 0], out=d[:last]), out=d[:last])
+        for column, place in zip(axes[1:], at[i, 1:], strict=True):
+            d[:last] += np.square(np.subtract(column[:last], place, out=part[:last]), out=part[:last])
+        np.sqrt(d[:last], out=d[:last])
+        less = np.flatnonzero(d[:last] < gap[:last])
+        near[less], gap[less] = i, d[less]
+    joins = [i for i, _ in links]
+    return pd.DataFrame({"cluster": pdf["cluster"].iloc[0], "a": ids[parents] if links else ids[:0], "b": ids[joins] if links else ids[:0], "distance": np.array([g for _, g in links], float)})
 
 
 def spanning_trees(points: DataFrame) -> DataFrame:
