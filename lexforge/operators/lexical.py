@@ -13,8 +13,9 @@ K1, B = 1.5, 0.75
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf); partial counts are combined before the shuffle."""
-    every = docs.select(F.col(id_col).alias("doc_id"), F.explode(long_runs(F.col(text_col))).alias("term"))
+    """(doc_id, term, tf); texts are dealt by document, which is less than their terms and keeps a document's terms together."""
+    dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    every = dealt.select("doc_id", F.explode(long_runs(F.col("text"))).alias("term"))
     return every.where(~F.col("term").isin(STOPWORDS)).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 

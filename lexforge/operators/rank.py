@@ -46,7 +46,7 @@ def with_percentile(scored: DataFrame, score: str, into: str = "percentile") ->
     Scores are counted, dealt by range and summed within ranges; the sums of the ranges before
     are a table with a row for each range.
     """
-    rows = scored.withColumn("__s", F.round(F.col(score), 12))
+    rows = cut(scored).withColumn("__s", F.round(F.col(score), 12))  # read twice, computed once
     ties = cut(rows.groupBy("__s").agg(F.count("*").alias("__n")).repartitionByRange("__s").withColumn("__range", F.spark_partition_id()))
     ranges = ties.groupBy("__range").agg(F.sum("__n").alias("__in"), F.min("__s").alias("__least"))
     before = W.partitionBy(F.lit(0)).orderBy(F.col("__least").asc_nulls_first())
