@@ -57,6 +57,15 @@ def retriever_scores(postings: DataFrame, n_docs: DataFrame, questions: DataFram
     return weighed.join(wanted, "term").groupBy("item_id", "doc_id").agg(F.sum("part").alias("bm25"))
 
 
+def against_best(found: DataFrame, weight: float = 0.3) -> DataFrame:
+    """(item_id, doc_id, bm25) with a score: the part of the item's best; found is a written table, as it is read twice.
+
+    The best of an item are partial maxima, so no task gets all documents of an item.
+    """
+    best = if_small(cut(found.groupBy("item_id").agg(F.max("bm25").alias("best"))))
+    return found.join(best, "item_id").select("item_id", "doc_id", "bm25", F.round(F.lit(weight) * F.col("bm25") / F.col("best"), 6).alias("score"))
+
+
 def top_with_floor(scores: DataFrame, k: int = 8, floor: float = 0.5) -> DataFrame:
     """Per item the k best of (item_id, doc_id, score) that reach floor times the best; the best always stays."""
     order = W.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")
@@ -127,17 +136,19 @@ def cluster_keywords(postings: DataFrame, n_docs: DataFrame, clusters: DataFrame
 def similarities(questions: DataFrame, chunks: DataFrame, block: int = 256) -> DataFrame:
     """(item_id, doc_id, sim) of every question (item_id, v) and chunk (doc_id, v); questions go in blocks, chunks once to each.
 
-    Vectors of another length than the question's are an error.
+    Other columns of chunks stay.  Vectors of another length than the question's are an error.
     """
     blocks = max(1, -(-questions.count() // block))
     packed = questions.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("item_id", "v")).alias("qs"))
-    rows = chunks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "block")
+    packed = if_small(cut(packed), 1000)  # few blocks go to every task; dealt by block, all chunks would be in as few
+    rows = chunks.repartition("doc_id").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "block")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     same = lambda q: F.when(F.size(q["v"]) == F.size("v"), dot(q["v"], F.col("v"))).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("double"))
-    return rows.select("doc_id", F.inline(F.transform("qs", lambda q: F.struct(q["item_id"].alias("item_id"), same(q).alias("sim")))))
+    return rows.select(*(c for c in chunks.columns if c != "v"), F.inline(F.transform("qs", lambda q: F.struct(q["item_id"].alias("item_id"), same(q).alias("sim")))))
 
 
 def hybrid(sims: DataFrame, boosts: DataFrame, lexical: DataFrame) -> DataFrame:
-    """(item_id, doc_id, sim, score): similarity times the keyword boost, 1 without one, and the lexical part, 0 without one."""
-    rows = sims.join(boosts.select("item_id", "doc_id", "boost"), ["item_id", "doc_id"], "left").join(lexical.select("item_id", "doc_id", F.col("score").alias("lex")), ["item_id", "doc_id"], "left")
+    """(item_id, doc_id, sim, score) of sims (item_id, doc_id, cluster, sim): similarity times the boost (item_id, cluster), 1 without one, and the lexical part, 0 without one."""
+    lexical = lexical.select("item_id", "doc_id", F.col("score").alias("lex"))
+    rows = sims.join(boosts.select("item_id", "cluster", "boost"), ["item_id", "cluster"], "left").join(lexical, ["item_id", "doc_id"], "left")
     return rows.select("item_id", "doc_id", "sim", (F.col("sim") * F.coalesce("boost", F.lit(1.0)) + F.coalesce("lex", F.lit(0.0))).alias("score"))

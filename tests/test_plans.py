@@ -20,3 +20,19 @@ def test_terms_of_a_document_stay_together(spark):
     counts = lexical.term_counts(docs)
     assert _plan(counts).count("Exchange hashpartitioning(doc_id") == 1 and "term#" not in _plan(counts).split("Exchange hashpartitioning(")[1].split(")")[0]
     assert {tuple(r) for r in counts.collect()} == {(1, "one", 1), (1, "two", 3), (1, "three", 1)}
+
+
+def test_one_block_of_questions_goes_to_all_chunks(spark):
+    chunks = spark.createDataFrame([(i, "a", [1.0, float(i)]) for i in range(9)], "doc_id int, cluster string, v array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "item_id int, v array<float>")
+    sims = lexical.similarities(asked, chunks)
+    assert "BroadcastHashJoin" in _plan(sims) and "hashpartitioning(block" not in _plan(sims)
+    assert {(r["item_id"], r["doc_id"], r["cluster"], r["sim"]) for r in sims.collect()} == {(1, i, "a", 1.0) for i in range(9)} | {(2, i, "a", float(i)) for i in range(9)}
+
+
+def test_scores_against_the_best_have_no_window(spark):
+    from lexforge.operators.graph import cut
+
+    found = spark.createDataFrame([(1, 1, 4.0), (1, 2, 2.0), (2, 1, 3.0)], "item_id int, doc_id int, bm25 double")
+    out = lexical.against_best(cut(found))
+    assert "Window" not in _plan(out) and {tuple(r) for r in out.collect()} == {(1, 1, 4.0, 0.3), (1, 2, 2.0, 0.15), (2, 1, 3.0, 0.3)}
