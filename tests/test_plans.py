@@ -36,3 +36,12 @@ def test_scores_against_the_best_have_no_window(spark):
     found = spark.createDataFrame([(1, 1, 4.0), (1, 2, 2.0), (2, 1, 3.0)], "item_id int, doc_id int, bm25 double")
     out = lexical.against_best(cut(found))
     assert "Window" not in _plan(out) and {tuple(r) for r in out.collect()} == {(1, 1, 4.0, 0.3), (1, 2, 2.0, 0.15), (2, 1, 3.0, 0.3)}
+
+
+def test_plain_texts_stay_in_the_jvm(spark):
+    from lexforge.operators import viewer
+
+    df = spark.createDataFrame([("Plain TEXT 1",), ("Äpfel Ｈ",), (None,), ("end\n",), ("",)], "t string")
+    got = [r["w"] for r in df.select(viewer.norm_words(F.col("t")).alias("w")).collect()]
+    assert got == [["plain", "text", "1"], ["apfel", "h"], [], ["end"], []]
+    assert "CASE WHEN" in df.select(viewer.norm_words(F.col("t")))._jdf.queryExecution().analyzed().toString()
